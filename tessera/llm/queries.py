@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm.glyphs import look_alike_pairs
 from tessera.llm.nearest import nearest_in_time
+from tessera.llm.offensive import THRESHOLD, score_documents, source_rates
+from tessera.llm.packing import fill_rates, pack_documents
+from tessera.llm.tokens import token_ids
 from tessera.llm.turns import speaker_turns
 from tessera.runtime import table
 
@@ -27,7 +30,38 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(texts, "field_name", "id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p5_found)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "capacities"))
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and unused share by capacity."""
+    return fill_rates(p9_packed(spark, sf_dir))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where(F.col("offence_score") >= THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document."""
+    return _scored(spark, sf_dir).select("doc_id", "source", "offence_score")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of offensive documents by source."""
+    return source_rates(_scored(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p5_found, p8_ids, p9_packed, p9_fill, p10_found, p10_scores, p10_rates)}
 
 ORACLE = {
     "p3_found": """
