@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from tessera.queries import data
+from tessera.queries import data, events
 
-QUERIES = {**data.QUERIES}
-ORACLE = {**data.ORACLE}
+QUERIES = {**data.QUERIES, **events.QUERIES}
+ORACLE = {**data.ORACLE, **events.ORACLE}
