@@ -103,7 +103,8 @@ def numbered(df: DataFrame, entity: str, order: list[str]) -> DataFrame:
     from pyspark.sql.types import LongType, StructField, StructType
 
     rows = df.where(F.col(entity).isNotNull())
-    key = rows.columns.index(entity)
+    names = rows.columns
+    key = names.index(entity)
 
     def counted(batch: pa.RecordBatch, ent: object, n: int) -> tuple[np.ndarray, object, int]:
         codes = batch.column(key).dictionary_encode().indices.to_numpy(zero_copy_only=False)
@@ -131,7 +132,7 @@ def numbered(df: DataFrame, entity: str, order: list[str]) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 no, ent, n = counted(b, ent, n)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(no, pa.int64())], names=[*rows.columns, "sequence"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(no, pa.int64())], names=[*names, "sequence"])
 
     schema = StructType([*rows.schema.fields, StructField("sequence", LongType())])
     return carry_scan(range_sorted(rows, [entity, *order]), summarise, combine, rescan, schema)

@@ -1,6 +1,7 @@
 """Registered queries and their SQL."""
 
-from tessera.queries import data, events
+from tessera.queries import data, events, texts, timelines
 
-QUERIES = {**data.QUERIES, **events.QUERIES}
-ORACLE = {**data.ORACLE, **events.ORACLE}
+_PARTS = (data, events, texts, timelines)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
