@@ -37,13 +37,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 def read_packages(spark: SparkSession, root: str) -> DataFrame:
     """Documents of a directory of sample packages: sample, document (file name without .json), content VARIANT (NULL
     where it does not parse)."""
-    docs = spark.read.option("wholetext", True).text(f"{root}/*/*.json").select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\\x{feff}", "").alias("value"))
+    docs = spark.read.text(f"{root}/*/*.json", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\\x{feff}", "").alias("value"))
     return docs.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("sample"), F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("document"), F.try_parse_json("value").alias("content"))
 
 
 def read_sidecars(spark: SparkSession, folder: str, suffix: str = ".txt") -> DataFrame:
     """Side-car texts by stem: stem, text."""
-    docs = spark.read.option("wholetext", True).text(f"{folder}/*{suffix}")
+    docs = spark.read.text(f"{folder}/*{suffix}", wholetext=True)
     return docs.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1).alias("stem"), F.col("value").alias("text"))
 
 
