@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessera.runtime import cut
+from tessera.runtime import cut, shards
 
 Batches = Iterable[pa.RecordBatch]
 _SUMMARY = "pid int, summary string"
@@ -25,7 +25,7 @@ _SUMMARY = "pid int, summary string"
 
 def range_sorted(df: DataFrame, keys: list[str]) -> DataFrame:
     """Global order by keys, with equal keys in one partition."""
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return df.repartitionByRange(shards(df), *keys).sortWithinPartitions(*keys)
 
 
 def carry_scan(

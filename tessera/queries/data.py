@@ -9,14 +9,14 @@ from tessera.operators.intervals import periods_and_gaps
 from tessera.operators.nested import flatten_nested, object_keys, subtype_table, union_all, variant_counts
 from tessera.operators.packed import split_packed
 from tessera.operators.rejects import load_with_rejects
-from tessera.runtime import table
+from tessera.runtime import spread, table
 
 #: a longer gap is a break in the recording, not a gap
 BREAK_MS = 600_000
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_packed(table(spark, sf_dir, "samples"), "row_index", "reference_images")
+    return split_packed(spread(table(spark, sf_dir, "samples").select("row_index", "reference_images")), "row_index", "reference_images")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_all(
         [
-            object_keys(table(spark, sf_dir, "samples"), "gold", "row_index", "gold"),
-            object_keys(table(spark, sf_dir, "predictions"), "prediction", "pred_id", "prediction"),
+            object_keys(spread(table(spark, sf_dir, "samples").select("row_index", "gold")), "gold", "row_index", "gold"),
+            object_keys(spread(table(spark, sf_dir, "predictions").select("pred_id", "prediction")), "prediction", "pred_id", "prediction"),
         ]
     )
 
@@ -56,13 +56,13 @@ def p6_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = load_with_rejects(table(spark, sf_dir, "prediction_lines"), cells=False)
+    checked = load_with_rejects(spread(table(spark, sf_dir, "prediction_lines").select("line_id", "raw_line")), cells=False)
     return checked.where(F.col("fail_reason").isNotNull()).select("line_id", "fail_reason").distinct()
 
 
 def p7_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid records with their seven cells."""
-    checked = load_with_rejects(table(spark, sf_dir, "prediction_lines"))
+    checked = load_with_rejects(spread(table(spark, sf_dir, "prediction_lines").select("line_id", "raw_line")))
     return checked.where(F.col("fail_reason").isNull()).drop("fail_reason", "csv_error").dropDuplicates(["line_id"])
 
 

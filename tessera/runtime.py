@@ -44,3 +44,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than cores, dealt out over the cores, for work that is heavy by row. A scan of
+    many splits, as any large table is, stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
+def shards(df: DataFrame, bytes_each: int = 32 << 20, most: int = 100_000) -> int:
+    """Partitions for a global sort of df: by the size of the tables it reads, at least one for each core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return max(cores, min(most, -(-size // bytes_each)))
