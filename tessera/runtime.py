@@ -57,5 +57,5 @@ def shards(df: DataFrame, bytes_each: int = 32 << 20, most: int = 100_000) -> in
     """Partitions for a global sort of df: by the size of the tables it reads, at least one for each core."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return max(cores, min(most, -(-size // bytes_each)))
