@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,7 +45,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, so that Arrow functions can import it there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    archive = Path(tempfile.mkdtemp()) / f"{root.name}.zip"  # served to the executors by the driver
+    archive.write_bytes(packed.getvalue())
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,8 +77,15 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def shards(df: DataFrame, bytes_each: int = 32 << 20, most: int = 100_000) -> int:
-    """Partitions for a global sort of df: by the size of the tables it reads, at least one for each core."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """Partitions for a global sort of df: by the size of the tables it reads, at least one for each core. Where a size
+    is not known (rows of an RDD), its partitions count."""
+    least, size = df.sparkSession.sparkContext.defaultParallelism, 0
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return max(cores, min(most, -(-size // bytes_each)))
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        bytes_ = int(str(leaf.stats().sizeInBytes()))
+        if bytes_ < 1 << 60:
+            size += bytes_
+        elif leaf.nodeName().startswith("LogicalRDD") or hasattr(leaf, "rdd"):
+            least = max(least, leaf.rdd().getNumPartitions())
+    return max(least, min(most, -(-size // bytes_each)))
