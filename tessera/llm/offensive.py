@@ -285,7 +285,9 @@ def offence_score(texts: pd.Series) -> pd.Series:
 def score_documents(df: DataFrame, text: str = "text") -> DataFrame:
     """df with offence_score DOUBLE, at least 0: the weight of the worst clause; null, empty and blank texts score 0,
     long texts are scored whole, clause by clause, repeated rows alike; a column of that name is replaced."""
-    return df.withColumn("offence_score", F.pandas_udf(offence_score, T.DoubleType())(F.col(text)))
+    # not deterministic: else a filter on the score, and the scoring with it, would be moved below a repartition
+    score = F.pandas_udf(offence_score, T.DoubleType()).asNondeterministic()
+    return df.withColumn("offence_score", score(F.col(text)))
 
 
 def source_rates(scored: DataFrame, source: str = "source", threshold: float = THRESHOLD) -> DataFrame:

@@ -10,7 +10,7 @@ from tessera.llm.offensive import THRESHOLD, score_documents, source_rates
 from tessera.llm.packing import fill_rates, pack_documents
 from tessera.llm.tokens import token_ids
 from tessera.llm.turns import speaker_turns
-from tessera.runtime import table
+from tessera.runtime import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,17 +25,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = (("prompt", "samples", "row_index", "prompt"), ("speech", "speech_segments", "seg_id", "text"), ("subtitle", "subtitle_segments", "sub_id", "text"))
     texts = None
     for field, name, key, text in fields:
-        part = table(spark, sf_dir, name).select(F.lit(field).alias("field_name"), F.col(key).alias("id"), F.col(text).alias("text"))
+        part = spread(table(spark, sf_dir, name).select(F.col(key).alias("id"), F.col(text).alias("text"))).withColumn("field_name", F.lit(field))
         texts = part if texts is None else texts.unionByName(part)
     return look_alike_pairs(texts, "field_name", "id", "text")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return token_ids(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "capacities"))
+    return pack_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "capacities"))
 
 
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return score_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
