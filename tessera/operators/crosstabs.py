@@ -62,12 +62,26 @@ def word_confidence(words: Column, high: float = 0.8) -> Column:
     return F.when(F.size(known) > 0, F.when(mean >= high, "high").otherwise("medium"))
 
 
+def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Exact median by group (group, median): ranks from a carried scan over the global order and the middle rows, so no
+    task holds a group's values. Nulls of either column are left out."""
+    from tessera.operators.runs import numbered
+
+    rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, value, F.monotonically_increasing_id().alias("_tie"))
+    ranked = numbered(rows, group, [value, "_tie"])
+    n = ranked.groupBy(group).agg(F.max("sequence").alias("_n"))
+    middle = (F.col("sequence") == F.floor((F.col("_n") + 1) / 2)) | (F.col("sequence") == F.floor(F.col("_n") / 2) + 1)
+    return ranked.join(n, group).where(middle).groupBy(group).agg(F.avg(value).alias("median"))
+
+
 def robust_events(df: DataFrame, group: str, value: str, factor: float = 4.0, least: float = 0.11, floor: float = 0.005) -> DataFrame:
     """Median, median absolute deviation, the adaptive threshold and the values above it, by group."""
-    med = df.groupBy(group).agg(F.median(value).alias("med"))
-    mad = df.join(med, group).groupBy(group).agg(F.first("med").alias("med"), F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
-    line = mad.withColumn("threshold", F.greatest(F.lit(least), F.col("med") + factor * F.greatest(F.col("mad"), F.lit(floor))))
-    return df.join(line, group).groupBy(group).agg(F.first("med").alias("med"), F.first("mad").alias("mad"), F.first("threshold").alias("threshold"), F.count_if(F.col(value) > F.col("threshold")).alias("events"))
+    med = exact_median(df, group, value).withColumnRenamed("median", "med")
+    away = df.join(med, group).select(group, F.abs(F.col(value) - F.col("med")).alias("away"))
+    line = med.join(exact_median(away, group, "away").withColumnRenamed("median", "mad"), group)
+    line = line.withColumn("threshold", F.greatest(F.lit(least), F.col("med") + factor * F.greatest(F.col("mad"), F.lit(floor))))
+    above = df.join(line, group).groupBy(group).agg(F.count_if(F.col(value) > F.col("threshold")).alias("events"))
+    return line.join(above, group).select(group, "med", "mad", "threshold", "events")
 
 
 def strongest(level: Column, order: list[str]) -> Column:

@@ -60,14 +60,16 @@ def texts_heard(captions: DataFrame, speech: DataFrame, on: list[str], caption_i
     return hits.groupBy(caption_id).agg(F.array_join(F.transform(parts, lambda p: p["heard_text"]), " ").alias("heard"), F.count(F.lit(1)).alias("segments"))
 
 
-def same_text_elsewhere(left: DataFrame, right: DataFrame, on: str, left_id: str, right_id: str, within: float = 3.0) -> DataFrame:
-    """Left rows whose own text (column norm) stands, without overlap, at most `within` seconds away on the right: the
-    nearest such row (ties: smaller id): left_id, right_id, gap."""
-    pairs = left.select(on, "norm", left_id, "l_start", "l_end").where(F.col("norm") != "").join(right.select(on, "norm", right_id, "r_start", "r_end"), [on, "norm"])
+def same_text_elsewhere(left: DataFrame, right: DataFrame, on: str, left_id: str, right_id: str, within: int, width: int) -> DataFrame:
+    """Left rows whose own text (column norm) stands, without overlap, at most `within` away on the right: the nearest
+    such row (ties: smaller id): left_id, right_id, gap.
+
+    Rows meet by entity, text and time bucket: a text said many times in a long clip meets its neighbours only."""
+    wide = left.where(F.col("norm") != "").select(on, "norm", left_id, (F.col("l_start") - within - 1).alias("a"), (F.col("l_end") + within + 1).alias("b"), "l_start", "l_end")
+    pairs = overlap_join(wide, right.select(on, "norm", right_id, "r_start", "r_end"), [on, "norm"], width, "a", "b")
     gap = F.greatest("l_start", "r_start") - F.least("l_end", "r_end")
-    met = pairs.where(gap < 0).select(left_id).distinct()
-    near = pairs.where((gap >= 0) & (gap <= within)).join(met, left_id, "left_anti")
-    return near.groupBy(left_id).agg(F.min(F.struct(gap.alias("gap"), F.col(right_id))).alias("b")).select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.gap").alias("gap"))
+    best = pairs.groupBy(left_id).agg(F.bool_or(gap < 0).alias("met"), F.min(F.when((gap >= 0) & (gap <= within), F.struct(gap.alias("gap"), F.col(right_id)))).alias("n"))
+    return best.where(~F.col("met") & F.col("n").isNotNull()).select(left_id, F.col(f"n.{right_id}").alias(right_id), F.col("n.gap").alias("gap"))
 
 
 def repair_coverage(claims: DataFrame, facts: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:

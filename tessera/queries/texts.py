@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.functions import textops
 from tessera.functions.geometry import bbox_bounds, duration_within, time_range
 from tessera.functions.jsonops import cache_key, fingerprint, is_object_array, json_kind
-from tessera.operators import contracts, crosstabs
+from tessera.operators import contracts, crosstabs, dialogue
 from tessera.operators.greedy import keep_uncovered
 from tessera.operators.matching import repair_coverage
 from tessera.operators.nested import flatten_nested
@@ -174,12 +174,34 @@ def fact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep.select("sample_id", F.lit("keep").alias("what"), F.col("pos").cast("string").alias("item")).unionByName(missing.select("sample_id", F.lit("append").alias("what"), F.col("fact_id").alias("item")))
 
 
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "samples").select("row_index", "sample_id", "prompt").distinct()
+
+
+def prompt_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is to say what in each prompt."""
+    d = _prompts(spark, sf_dir).select("row_index", dialogue.speech_plan(F.col("prompt")).alias("p"))
+    return d.select("row_index", "p.scope", F.explode_outer("p.turns").alias("t")).select("row_index", "scope", "t.turn", "t.role", "t.dialogue", "t.start", "t.end")
+
+
+def prompt_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.media_constraints(_prompts(spark, sf_dir), "row_index", "prompt")
+
+
+def prompt_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speech that stands, nearly or exactly, in the prompt of its clip."""
+    seg = table(spark, sf_dir, "speech_segments").where("sample_id IS NOT NULL").select("sample_id", "seg_id", "text").distinct()
+    prompts = contracts.first_wins(_prompts(spark, sf_dir).where("sample_id IS NOT NULL"), ["sample_id"], "row_index")
+    return dialogue.anchors(seg, prompts.select("sample_id", "prompt"), "sample_id", "seg_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         doc_audit, doc_route_multilabel, doc_route_summary, doc_first_rule_counts, label_confusion, doc_source_crosstab, doc_manifest_join, label_key_violations, label_orphans,
         sample_prediction_difference, sample_allow_list, sample_select_rows, doc_exact_dedup, doc_fingerprint, doc_text_features, doc_canonical_numbers, doc_folded,
         prediction_json_kinds, sample_fenced_blocks, issue_time_ranges, issue_boxes, issue_semantic_dedup, fact_coverage,
+        prompt_dialogues, prompt_constraints, prompt_anchors,
     )
 }
 

@@ -70,7 +70,7 @@ def caption_text_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     sub, seg = _sides(spark, sf_dir)
     left = sub.where("l_end > l_start").withColumn("norm", compact_text(F.col("text")))
     right = seg.where("r_end > r_start").withColumn("norm", compact_text(F.col("heard_text"))).withColumnRenamed("pos", "seg_id")
-    return matching.same_text_elsewhere(left, right, "sample_id", "sub_id", "seg_id", 3000.0)
+    return matching.same_text_elsewhere(left, right, "sample_id", "sub_id", "seg_id", 3000, WIDTH)
 
 
 def caption_components(spark: SparkSession, sf_dir: str) -> DataFrame:
