@@ -21,15 +21,15 @@ THRESHOLD = 1.0
 
 # ---- fixed vocabularies ------------------------------------------------------------------------------------------
 INSULTS = (
-    "asshole bastard bitch bozo brainless clown|cretin cunt degenerate dickhead dimwit dipshit douchebag dumbass dumbfuck dunce dirtbag filthy rat|"
-    "filthy animal|filthy pig|fucker fuckwit halfwit idiot imbecile jackass jerk lowlife moron motherfucker nitwit numbskull parasite pathetic loser|"
-    "shit piece of garbage|piece of shit|piece of trash|prick retard scumbag scum shithead slut sonofabitch son of a bitch|stupid cow|stupid pig|"
-    "turd twat wanker waste of space|whore worthless pig|worthless trash|worthless rat"
+    "asshole, bastard, bitch, bozo, brainless clown, cretin, cunt, degenerate, dickhead, dimwit, dipshit, douchebag, dumbass, dumbfuck, dunce, dirtbag, "
+    "filthy rat, filthy animal, filthy pig, fucker, fuckwit, halfwit, idiot, imbecile, jackass, jerk, lowlife, moron, motherfucker, nitwit, numbskull, "
+    "parasite, pathetic loser, shit, piece of garbage, piece of shit, piece of trash, prick, retard, scumbag, scum, shithead, slut, sonofabitch, "
+    "son of a bitch, stupid cow, stupid pig, turd, twat, wanker, waste of space, whore, worthless pig, worthless trash, worthless rat"
 )
 INSULTS_FOREIGN = (
-    "imbécil idiota gilipollas cabrón hijo de puta|hija de puta|puta de mierda|subnormal maricón zorra pendejo estúpido de mierda|basura humana|"
-    "connard connasse salaud salope enculé abruti fils de pute|espèce d'ordure|espèce d'idiot|ordure crétin débile pauvre type|"
-    "идиот ублюдок мразь сволочь тварь дебил придурок урод скотина кретин сука мудак гнида подонок"
+    "imbécil, idiota, gilipollas, cabrón, hijo de puta, hija de puta, puta de mierda, subnormal, maricón, zorra, pendejo, estúpido de mierda, basura humana, "
+    "connard, connasse, salaud, salope, enculé, abruti, fils de pute, espèce d'ordure, espèce d'idiot, ordure, crétin, débile, pauvre type, "
+    "идиот, ублюдок, мразь, сволочь, тварь, дебил, придурок, урод, скотина, кретин, сука, мудак, гнида, подонок"
 )
 INSULTS_HAN = (
     "傻逼 傻B 傻叉 傻屌 煞笔 沙比 沙雕 傻13 白痴 白吃 王八蛋 王八羔子 混蛋 脑残 贱货 贱人 婊子 废物 肺物 垃圾玩意 死胖子 死肥猪 狗东西 狗杂种 畜生 畜牲 蠢货 蠢猪 人渣 "
@@ -39,17 +39,8 @@ _MASK = "*＊x✗×X✕○●□#"
 _JOIN = r"[\s*_.·•~^\-]"
 
 
-def _phrase(part: str) -> list[str]:
-    # the last words up to the bar form the phrase: it begins at the last word that starts one
-    starts = ("brainless", "filthy", "pathetic", "piece", "son", "stupid", "waste", "worthless", "hijo", "hija", "puta", "estúpido", "basura", "fils", "espèce", "pauvre")
-    words = part.split()
-    at = max((i for i, w in enumerate(words) if w in starts), default=len(words) - 1)
-    return [*words[:at], " ".join(words[at:])]
-
-
 def _vocabulary(text: str) -> list[str]:
-    bars = text.split("|")
-    return [w for b in bars[:-1] for w in _phrase(b)] + bars[-1].split()
+    return [w.strip() for w in text.split(",")]
 
 
 def squeeze(text: str) -> str:
@@ -87,7 +78,8 @@ def undisguised(plain: str) -> str:
 
 
 def _any(words: list[str]) -> str:
-    return "(?:" + "|".join(sorted(map(re.escape, words), key=len, reverse=True)) + ")"
+    """Alternation, longest first; between the words of a phrase any few separators may stand."""
+    return "(?:" + "|".join(r"[\W_]{1,3}".join(map(re.escape, w.split(" "))) for w in sorted(words, key=len, reverse=True)) + ")"
 
 
 def _han_masked(words: list[str]) -> str:
@@ -104,6 +96,7 @@ _EN = _any([squeeze(w) for w in _vocabulary(INSULTS)])
 _ROM = _any([squeeze(w) for w in _vocabulary(INSULTS_FOREIGN)])
 _HAN_CLEAR = [w for w in INSULTS_HAN.lower().split() if not w.isascii()]
 _ZH = _any(_HAN_CLEAR) + r"|(?<![a-z])sb(?![a-z])"
+_MASKED_HAN = re.compile(rf"[一-鿿](?:[{_MASK}]|zha)")
 _ZH_MASKED = re.compile(_han_masked(_HAN_CLEAR))
 _MASKED = r"[a-z]?xqx[a-z]?"
 _B, _E = r"(?<![^\W_])", r"(?![^\W_])"
@@ -117,7 +110,10 @@ class Rule:
     weight: float
     pattern: str
     anchors: tuple[str, ...]
-    view: str = "plain"  # plain, folded (undisguised Latin) or han (gaps between Han letters closed)
+    #: plain, folded (undisguised Latin) or han (gaps between Han letters closed)
+    view: str = "plain"
+    #: False for a tag that never carries a clause without another one's anchor or a masked word
+    carries: bool = True
 
     @property
     def regex(self) -> re.Pattern:
@@ -129,8 +125,12 @@ def _compiled(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 
 
-def _r(tag: str, weight: float, pattern: str, anchors: str, view: str = "plain") -> Rule:
-    return Rule(tag, weight, pattern, tuple(a.replace("_", " ") for a in anchors.split()), view)
+#: letters without which a pattern cannot hold; the rarer they are, the fewer clauses are looked at
+_INSULT_ANCHORS = " ".join(dict.fromkeys(max(squeeze(w).split(" "), key=len) for w in [*_vocabulary(INSULTS), *_vocabulary(INSULTS_FOREIGN), "xqx"]))
+
+
+def _r(tag: str, weight: float, pattern: str, anchors: str, view: str = "plain", carries: bool = True) -> Rule:
+    return Rule(tag, weight, pattern, tuple(a.replace("_", " ") for a in anchors.split()), view, carries)
 
 
 _PERSON = (
@@ -150,31 +150,31 @@ RULES: tuple[Rule, ...] = (
     # address that is abuse by itself
     _r("address", 1.0, rf"\b(?:shut (?:your mouth|up|the fuck up),? you|get lost,? you|come here,? you|listen(?: here)?,? you)\s+{_SLOT}(?=[.!?,\"”\n]|$)", "shut_ get_lost come_here listen"),
     _r("address", 1.0, r"\b(?:fuck|screw|piss) (?:off|you|your)|\bgo (?:fuck|screw|hang|kill) yourself|\bgo f\W{1,6} ?yourself|\bf(?:u|\W)ck (?:off|you)|\bfucking? (?:you|your|idiot|hell of a)", "fuck screw piss_ yourself"),
-    _r("address", 1.0, r"\bgo fxqx (?:yourself|off|you)|\bfxqx (?:off|you|yourself)|\bfuck (?:off|you)|\bgo fuck", "f", "folded"),
-    _r("address", 0.8, rf"{_B}(?:you are|you're|you) (?:(?:are|such|really|just|nothing but) )*(?:a |an )?(?:(?:complete|total|absolute|stupid|fucking|dirty|damn|little) )*{_INS}", "you", "folded"),
-    _r("address", 0.8, rf"\b(?:only|what) an? {_INS}|\b(?:this|that|here|reviewer|editor|director|author|clip|rendered|he|she|it|they|who\w*) (?:is|are|was) (?:an? |such an? |the )?(?:\w+ )?{_INS}|\blisten,? {_INS}|\bget lost,? {_INS}", "only what is are was listen lost", "folded"),
+    _r("address", 1.0, r"\bgo fxqx (?:yourself|off|you)|\bfxqx (?:off|you|yourself)|\bfuck (?:off|you)|\bgo fuck", "fxqx fuck", "folded"),
+    _r("address", 0.8, rf"{_B}(?:you are|you're|you) (?:(?:are|such|really|just|nothing but) )*(?:a |an )?(?:(?:complete|total|absolute|stupid|fucking|dirty|damn|little) )*{_INS}", _INSULT_ANCHORS, "folded"),
+    _r("address", 0.8, rf"\b(?:only|what) an? {_INS}|\b(?:this|that|here|reviewer|editor|director|author|clip|rendered|he|she|it|they|who\w*) (?:is|are|was) (?:an? |such an? |the )?(?:\w+ )?{_INS}|\blisten,? {_INS}|\bget lost,? {_INS}", _INSULT_ANCHORS, "folded"),
     _r("address", 0.5, r"\bnobody asked you\b|\blike you would ship this\b|\bfuck|\bshit\b|\bi want to slap\b", "asked_you ship_this fuck shit slap"),
-    Rule("insult", 0.55, _INS, (*(squeeze(w) for w in _vocabulary(INSULTS) + _vocabulary(INSULTS_FOREIGN)), "xqx"), "folded"),
+    _r("insult", 0.55, _INS, _INSULT_ANCHORS, "folded"),
     Rule("insult", 0.6, _ZH, (*_HAN_CLEAR, "sb"), "han"),
     _r("address", 1.0, r"操你[妈媽]|[草肏艹]你[妈媽]|日你[妈媽]|去你[妈媽]的|你[妈媽]的|你[妈媽]逼|fuck你", "操你 草你 肏你 艹你 日你 去你 你妈 你媽", "han"),
     _r("address", 0.7, r"(?:闭嘴|住口|滚开|滚蛋|滚出去|滚回|给我滚)[,，!！ ]|妈的[,，]|他妈的|给我跪下|没人问你", "闭嘴 住口 滚 妈的 跪下 没人问你", "han"),
-    _r("address", 0.6, r"你(?:们)?(?:这个|这种|就是个|就是一个|真是个|是个|个)|又是这个|的人是|的人都是|只有[^。!?！？\n]{1,12}才会|大骂|骂道|吼道", "你 又是这个 的人 只有 骂 吼道", "han"),
+    _r("address", 0.6, r"你(?:们)?(?:这个|这种|就是个|就是一个|真是个|是个|个)|又是这个|的人是|的人都是|只有[^。!?！？\n]{1,12}才会|大骂|骂道|吼道", "你 又是这个 的人 只有 骂 吼道", "han", False),
     _r("address", 0.6, r"黙れ|出て行け|失せろ|消えろ|死ね|お前[はらが]|てめ[えぇー]|貴様", "黙れ 出て行け 失せろ 消えろ 死ね お前 てめ 貴様"),
-    _r("address", 0.6, r"\b(?:ferme ta gueule|ta gueule|va te faire|nique ta|tu es un|espèce d|cállate|eres (?:un|una)|vete a|que te jodan|tu puta madre|заткнись|пошёл|пошел|иди на|ты (?:полный|просто|такой|же)|чтоб ты)", "gueule va_te nique tu_es espèce cállate eres vete jodan puta заткн пош иди ты чтоб"),
+    _r("address", 0.6, r"\b(?:ferme ta gueule|ta gueule|va te faire|nique ta|tu es un|espèce d|cállate|eres (?:un|una)|vete a|que te jodan|tu puta madre|заткнись|пошёл|пошел|иди на|ты (?:полный|просто|такой|же)|чтоб ты)", "gueule va_te nique tu_es espèce cállate eres_un vete_a jodan puta заткн пош иди_на ты_полный ты_просто ты_такой ты_же чтоб_ты"),
     # threats and wishes of harm against persons
-    _r("harm", 0.6, rf"\b{_HARM}", "wake_up jump rot_ chok beat sick breathing break_ regret a_tear drop_dead kill_ hang_ slap_ punch_ shoot_ stab_ strangle slit_ burn crawl_back better_off waste_of without_you ashamed deserve hope_you should your_back you_live gut_you bury_you"),
-    _r("harm", 1.0, r"\bcrawl back (?:under|into|to) your|\bdo (?:everyone|us all|the world) a favou?r and (?:stop breathing|die|disappear|jump)|\bgo (?:die|drown|choke)\b", "crawl_back favour favor go_"),
+    _r("harm", 0.6, rf"\b{_HARM}", "wake_up jump rot_ chok beat sick breathing break_ regret a_tear drop_dead kill_ hang_ slap_ punch_ shoot_ stab_ strangle slit_ burn_in burn_their crawl_back better_off waste_of without_you ashamed deserve hope_you should_die should_have should_never your_back you_live gut_you bury_you"),
+    _r("harm", 1.0, r"\bcrawl back (?:under|into|to) your|\bdo (?:everyone|us all|the world) a favou?r and (?:stop breathing|die|disappear|jump)|\bgo (?:die|drown|choke)\b", "crawl_back favour favor go_die go_drown go_choke"),
     _r("person", 0.5, rf"\b{_PERSON}", "you whoever the_ him her them your someone anyone"),
     _r("harm", 1.0, r"(?:你|你们|像你|这种人|剪这段|写这句|做这个|家伙)[^。!?！？\n]{0,16}(?:去死|死光|断气|打断|拖出去|烂在|跳下去|放屁|恶心死|不得好死|不配活|浪费空气|揍|砍死|弄死|杀了|挨打|别回来|后悔了|下地狱|见鬼|抽死)", "去死 死光 断气 打断 拖出去 烂在 跳下去 放屁 恶心死 好死 不配活 浪费空气 揍 砍死 弄死 杀了 挨打 别回来 后悔了 下地狱 见鬼 抽死", "han"),
     _r("harm", 1.0, r"看见你[^。\n]{0,10}(?:想吐|恶心)|滚回你|(?:打断|砍断|剁了)[^。\n]{0,6}(?:手|腿|脖子)|把你的(?:手|腿|头|嘴)[^。\n]{0,4}(?:打断|砍|剁|撕)|你怎么不(?:去死|跳)|真希望你[^。\n]{0,12}(?:别回来|死|出事)|劝你[^。\n]{0,10}(?:跳|死)|迟早被人|弄死你|宰了你|杀了你全家|生你的时候", "想吐 恶心 滚回你 打断 砍断 剁 你的 怎么不 真希望你 劝你 迟早被人 弄死你 宰了你 杀了你 生你的时候", "han"),
     _r("harm", 1.0, r"\btu ferais mieux de crever|\bcrève\b|\bojalá (?:no despiertes|te mueras|revientes)|\bmuérete\b|\bte voy a matar|\bje vais te tuer|сдохни|чтоб ты сдох|убью тебя|лучше бы ты (?:сдох|умер)|死ねばいい|殺してやる|ぶっ殺", "crever crève ojalá muérete matar tuer сдох убью лучше_бы 死ねば 殺"),
     # dehumanising groups
     _r("dehumanise", 1.0, rf"\b{_MANY} [^.!?\n]{{2,40}}?\b(?:are|is) (?:all |nothing but |just )?(?:vermin|filth|animals|parasites|cockroaches|rats|subhuman|savages|scum|a disease|a plague|thie(?:f|ves) by blood|a thief by blood|born (?:liars|thieves|criminals))", "vermin filth animals parasites cockroaches rats subhuman savages scum disease plague by_blood born_"),
-    _r("dehumanise", 1.0, r"\b(?:are|is) (?:vermin|subhuman|born (?:liars|thieves|criminals)|a thief by blood|thieves by blood)|\bshould (?:all )?be (?:sterili[sz]ed|thrown out|exterminated|wiped out|deported|gassed|caged)|\bcarry diseases?\b[^.\n]{0,30}burn|\bbred? like (?:rats|rabbits|vermin)|\bin cages\b|\bin (?:the kitchen or in )?chains\b|\bleft alive\b|\bsmell like animals|\bhave smaller brains|\bdo(?:es)? not deserve to be treated as humans?|\bruin every (?:street|town|place)|\bare not (?:really )?human|\baway from our children, they are|\bnever hire one\b|\bgo back to (?:your|their) (?:country|cave|jungle)", "vermin subhuman born_ by_blood sterili thrown_out exterminat wiped_out deported gassed caged disease like_ cages chains left_alive smell_like smaller_brains not_deserve ruin_every not_human not_really our_children hire_one go_back"),
+    _r("dehumanise", 1.0, r"\b(?:are|is) (?:vermin|subhuman|born (?:liars|thieves|criminals)|a thief by blood|thieves by blood)|\bshould (?:all )?be (?:sterili[sz]ed|thrown out|exterminated|wiped out|deported|gassed|caged)|\bcarry diseases?\b[^.\n]{0,30}burn|\bbred? like (?:rats|rabbits|vermin)|\bin cages\b|\bin (?:the kitchen or in )?chains\b|\bleft alive\b|\bsmell like animals|\bhave smaller brains|\bdo(?:es)? not deserve to be treated as humans?|\bruin every (?:street|town|place)|\bare not (?:really )?human|\baway from our children, they are|\bnever hire one\b|\bgo back to (?:your|their) (?:country|cave|jungle)", "vermin subhuman born_ by_blood sterili thrown_out exterminat wiped_out deported gassed caged disease like_rats like_rabbits like_vermin cages chains left_alive smell_like smaller_brains not_deserve ruin_every not_human not_really our_children hire_one go_back"),
     _r("dehumanise", 1.0, r"都是(?:害虫|寄生虫|老鼠|蟑螂|畜生|垃圾|小偷|骗子|罪犯)|全部赶出去|跟(?:牲口|畜生|猪狗)没(?:两样|区别)|不配当人|不配做人|断子绝孙|关进笼子|要是没有[^。\n]{1,14}(?:干净|太平|清净)|走到哪脏到哪|低人一等|天生就是(?:小偷|骗子|贼|坏种)|骨子里(?:脏|坏)|身上都带病|脑子天生|生下来就(?:低|贱|坏)|别录用|滚回(?:老家|你们)|全部?杀光|灭绝", "都是 全部 跟 不配 断子绝孙 笼子 要是没有 走到哪 低人一等 天生 骨子里 带病 生下来 别录用 滚回 杀光 灭绝", "han"),
     _r("dehumanise", 1.0, r"\bson (?:unas )?(?:ratas|cucarachas|escoria|parásitos|basura)\b|\bque se larguen|\bsont (?:de la |des |tous des )?(?:vermine|cafards|rats|parasites|ordures)\b|(?:—|это|все)\s*(?:паразиты|крысы|мусор|твари|скот)|гнать их вон|(?:全員|みんな)(?:害虫|ゴミ|クズ|寄生虫)|人は害虫", "ratas cucarachas escoria parásitos larguen vermine cafards sont паразиты крысы мусор твари скот гнать 全員 みんな 害虫"),
     # explicit
-    _r("explicit", 1.0, r"\bmasturbat|\bfondl\w+ (?:and|her|him|his)|\b(?:have|has|having|had) (?:sex|intercourse)\b|\bboner\b|\bpanties\b|\bbegs? for more|\bclimax(?:es|ed)?\b(?! of the (?:film|story|scene))|\bporn|\bsend (?:me )?nudes\b|\bnudes of\b|\blegs spread|\bspread (?:her|his|their|your) legs|\bblow ?job|\bhand ?job|\borgasm|\bcum(?:s|ming|shot)?\b|\bjerk(?:s|ing)? off|\bgang ?bang|\bdildo|\bher tits\b|\bshow (?:me )?(?:more of )?(?:her|your) (?:bare )?(?:tits|breasts|ass)|\btouch(?:es|ing)? (?:herself|himself)|\blick (?:every part|her|his|my) |\brough and from behind|\bcamera between the thighs|\brides? (?:him|her) hard|\bmoaning loudly|\bfuck(?:s|ed|ing)? (?:her|him|hard|me)\b|\bpussy\b|\bbare breasts", "masturb fondl sex intercourse boner panties begs beg_for climax porn nudes legs blow hand_job handjob orgasm cum jerk gang dildo tits breasts ass touch lick rough_and thighs hard moaning fuck pussy"),
+    _r("explicit", 1.0, r"\bmasturbat|\bfondl\w+ (?:and|her|him|his)|\b(?:have|has|having|had) (?:sex|intercourse)\b|\bboner\b|\bpanties\b|\bbegs? for more|\bclimax(?:es|ed)?\b(?! of the (?:film|story|scene))|\bporn|\bsend (?:me )?nudes\b|\bnudes of\b|\blegs spread|\bspread (?:her|his|their|your) legs|\bblow ?job|\bhand ?job|\borgasm|\bcum(?:s|ming|shot)?\b|\bjerk(?:s|ing)? off|\bgang ?bang|\bdildo|\bher tits\b|\bshow (?:me )?(?:more of )?(?:her|your) (?:bare )?(?:tits|breasts|ass)|\btouch(?:es|ing)? (?:herself|himself)|\blick (?:every part|her|his|my) |\brough and from behind|\bcamera between the thighs|\brides? (?:him|her) hard|\bmoaning loudly|\bfuck(?:s|ed|ing)? (?:her|him|hard|me)\b|\bpussy\b|\bbare breasts", "masturb fondl sex intercourse boner panties begs beg_for climax porn nudes legs blow hand_job handjob orgasm cum jerk gang dildo tits breasts her_ass your_ass touch lick rough_and thighs him_hard her_hard moaning fuck pussy"),
     _r("nude", 0.5, r"\bnaked\b(?! eye)|\bstripped bare\b|\bstrips? naked\b|\btopless\b|\bundress(?:es|ed)?\b|\bfully (?:exposed|explicit|nude)\b|\bnothing covered\b|\bno blanket\b", "naked stripped strip topless undress fully nothing_covered no_blanket"),
     _r("nude", 0.5, r"\b(?:sucks?|fondles?|moans?|gasps? with pleasure|thrusts?)\b|\bfrom behind\b|\bbetween (?:her|his|the) thighs\b|\bon the sofa\b.*\bmoan", "suck fondle moan gasp thrust from_behind thighs"),
     _r("explicit", 1.0, r"自慰|手淫|做爱|口交|性交|呻吟|爱抚|射了|射精|从后面再来|腿张开|张开(?:双)?腿|裸照|全裸|黄片|色情片|A片|乳房|奶子|下体|阴(?:道|茎|部)|高潮|都硬了|露(?:点|出)胸|多露|脱光|脱得精光|舔(?:她|他|遍)|骑在(?:他|她)身上|做愛|強姦|强奸|轮奸|肉棒|内射|裸聊|约炮", "自慰 手淫 做爱 口交 性交 呻吟 爱抚 射 再来 张开 裸 黄片 色情 a片 A片 乳房 奶子 下体 阴 高潮 都硬了 露 脱光 精光 舔 骑在 做愛 姦 奸 肉棒 约炮", "han"),
@@ -201,7 +201,7 @@ class Grammar:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         self.index = self._automaton(range(len(rules)))
-        self.trigger = self._automaton([i for i, r in enumerate(rules) if r.tag in _CARRY])
+        self.trigger = self._automaton([i for i, r in enumerate(rules) if r.tag in _CARRY and r.carries])
 
     def _automaton(self, chosen):
         import ahocorasick
@@ -220,7 +220,7 @@ class Grammar:
         return {"plain": text, "folded": undisguised(text), "han": _HAN_GAP.sub("", text)}
 
     def triggered(self, views: dict[str, str]) -> bool:
-        return any(next(self.trigger.iter(v), None) is not None for v in dict.fromkeys(views.values()))
+        return any(next(self.trigger.iter(v), None) is not None for v in dict.fromkeys(views.values())) or _MASKED_HAN.search(views["plain"]) is not None
 
     def clauses(self, plain: str) -> list[str]:
         return [c for c in _SPLIT.split(plain) if c and c.strip()]
