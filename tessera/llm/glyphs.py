@@ -214,19 +214,18 @@ def look_alike_pairs(df: DataFrame, group: str, key: str, text: str) -> DataFram
 
     Result: group, id_a < id_b. Null and blank texts have no pairs; a record delivered twice counts once; an empty
     table gives no pairs. Rows whose look has only one spelling leave before the join, whatever their number; the join
-    is on 128-bit digests of look and spelling, and the look with many rows is split by Spark's skew join. Other
-    columns of df, whatever their names, are not read.
+    is on 128-bit digests of look and spelling, meets records of different spellings only, and a spelling with many
+    records is split by Spark's skew join. Other columns of df, whatever their names, are not read.
     """
     d = F.pandas_udf(_digests, T.StructType([T.StructField("look", T.BinaryType()), T.StructField("chars", T.BinaryType())]))(F.col(text))
     rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(group).alias("_g"), F.col(key).alias("_id"), d.alias("_d"))
     rows = rows.select("_g", "_id", F.col("_d.look").alias("_look"), F.col("_d.chars").alias("_chars")).where(F.col("_look").isNotNull()).distinct()
     spelled = rows.groupBy("_g", "_look").agg(F.min("_chars").alias("_lo"), F.max("_chars").alias("_hi")).where(F.col("_lo") != F.col("_hi"))
     many = rows.join(spelled.select("_g", "_look"), ["_g", "_look"], "left_semi")
-    a, b = many.alias("a"), many.alias("b")
-    same = (F.col("a._g") == F.col("b._g")) & (F.col("a._look") == F.col("b._look"))
-    return (
-        a.join(b, same & (F.col("a._chars") != F.col("b._chars")) & (F.col("a._id") < F.col("b._id")))
-        .select(F.col("a._g").alias(group), F.col("a._id").alias("id_a"), F.col("b._id").alias("id_b"))
-    )
-
-
+    # spellings of one look are paired first, then their records: no two records of one spelling ever meet
+    spellings = many.select("_g", "_look", "_chars").distinct()
+    other = spellings.select("_g", "_look", F.col("_chars").alias("_other"))
+    met = spellings.join(other, ["_g", "_look"]).where(F.col("_chars") < F.col("_other"))
+    one = many.join(met, ["_g", "_look", "_chars"]).select("_g", "_look", F.col("_other").alias("_chars"), F.col("_id").alias("_one"))
+    pairs = one.join(many, ["_g", "_look", "_chars"]).where(F.col("_one") != F.col("_id"))
+    return pairs.select(F.col("_g").alias(group), F.least("_one", "_id").alias("id_a"), F.greatest("_one", "_id").alias("id_b"))
