@@ -12,10 +12,10 @@ from tessera.functions.textops import compact_text
 from tessera.operators.contracts import first_wins
 
 _QUOTE = re.compile(r"“([^”]{1,400})”|\"([^\"\n]{1,400})\"|「([^」]{1,400})」")
-_NAME = r"(?:图\s*\d+\s*[里中]?的?)?[一-鿿]{1,10}|[A-Z][\w'’\-]*(?:\s[A-Z][\w'’\-]*){0,3}|(?:the|The|an?|A)\s[a-z][\w\- ]{1,30}|[Ss]peaker\s?\d+|角色\s?[A-Z\d]+"
+_NAME = r"(?:图\s*\d+\s*[里中]?的?)?[一-鿿]{1,10}|(?:the|The|an?|A)\s[a-z][\w\-]*(?:\s[a-z][\w\-]*){0,3}?|[A-Z][\w'’\-]*(?:\s[A-Z][\w'’\-]*){0,3}|[Ss]peaker\s?\d+|角色\s?[A-Z\d]+"
 _SAYS = r"(?:[^，,。；;：:“\"「\n]{0,8}?)(?:说道|说|问道|问|答道|回答|喊道|喊|低声说|道|念|唱|says?|said|asks?|replies|whispers?|shouts?|yells?)"
 #: forms of an introduction right before a quote, the closest first
-_INTRO = (re.compile(rf"({_NAME})\s*[：:]\s*$"), re.compile(rf"({_NAME})\s*{_SAYS}\s*[，,：:]?\s*$"))
+_INTRO = (re.compile(rf"({_NAME})\s*{_SAYS}\s*[，,：:]?\s*$"), re.compile(rf"({_NAME})\s*[：:]\s*$"))
 _RANGE = re.compile(r"(\d+(?:\.\d+)?)\s*(?:s|秒)?\s*[-–—~至到]\s*(\d+(?:\.\d+)?)\s*(?:s|秒)")
 _CLOSED = re.compile(r"只有以上|没有其他(?:台词|对白)|除此之外(?:不|没)|no other (?:speech|dialogue|lines)", re.IGNORECASE)
 _LEAD = re.compile(r"^(?:然后|接着|这时|随后|最后|此时|于是|the|The|an?|A)\s*")
@@ -53,16 +53,17 @@ def speech_plan(text: Column) -> Column:
 def media_constraints(df: DataFrame, key: str, text: str) -> DataFrame:
     """Stated resolutions and durations: key, kind, mode ('exact', 'minimum', 'maximum'), value; the first mention of
     each kind and mode counts. Mentions behind a negation are none."""
-    no = r"(?<!不要)(?<!无需)(?<!not )"
+    no = r"(?<!\d)(?<!不要)(?<!无需)(?<!not )"
     patterns = (
-        ("resolution", "exact", rf"(?i){no}(\d{{3,4}})p\b", 1.0), ("resolution", "exact", rf"(?i){no}\d{{3,4}}\s*[x×*]\s*(\d{{3,4}})", 1.0),
-        ("duration", "minimum", r"(?i)(?:至少|不少于|at least)\s*(\d+(?:\.\d+)?)\s*(?:s\b|秒|seconds?)", 1.0), ("duration", "maximum", r"(?i)(?:不超过|最多|at most|no longer than)\s*(\d+(?:\.\d+)?)\s*(?:s\b|秒|seconds?)", 1.0),
-        ("duration", "exact", r"(?i)(?:时长|片长|duration|length)(?:为|是|of|:|：)?\s*(\d+(?:\.\d+)?)\s*(?:s\b|秒|seconds?)", 1.0),
+        ("resolution", "exact", rf"(?i){no}(\d{{3,4}})p\b"), ("resolution", "exact", rf"(?i){no}\d{{3,4}}\s*[x×*]\s*(\d{{3,4}})"),
+        ("duration", "minimum", r"(?i)(?:至少|不少于|at least)\s*(\d+(?:\.\d+)?)\s*(?:s\b|秒|seconds?)"), ("duration", "maximum", r"(?i)(?:不超过|最多|at most|no longer than)\s*(\d+(?:\.\d+)?)\s*(?:s\b|秒|seconds?)"),
+        ("duration", "exact", r"(?i)(?:时长|片长|duration|length)(?:为|是|of|:|：)?\s*(\d+(?:\.\d+)?)\s*(?:s\b|秒|seconds?)"),
     )
-    found = F.flatten(F.array(*[
-        F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda v, k=k, m=m, n=n: F.struct(F.lit(k).alias("kind"), F.lit(m).alias("mode"), v.cast("double").alias("value"), F.lit(n).alias("rank")))
-        for n, (k, m, p, _) in enumerate(patterns)
-    ]))
+    def mentions(kind: str, mode: str, pattern: str, rank: int) -> Column:
+        one = lambda v: F.struct(F.lit(kind).alias("kind"), F.lit(mode).alias("mode"), v.cast("double").alias("value"), F.lit(rank).alias("rank"))
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), one)
+
+    found = F.flatten(F.array(*[mentions(k, m, p, n) for n, (k, m, p) in enumerate(patterns)]))
     rows = df.select(key, F.posexplode(F.coalesce(found, F.array().cast("array<struct<kind:string,mode:string,value:double,rank:int>>"))).alias("pos", "c")).select(key, "pos", "c.*")
     return first_wins(rows.select(key, "kind", "mode", "pos", "value"), [key, "kind", "mode"], "pos").select(key, "kind", "mode", "value")
 
