@@ -7,6 +7,7 @@ import re
 from typing import Any
 
 BAD = object()
+# Fixed value: how a fenced block opens.
 _OPEN = re.compile(r"```(?:json)?[ \t]*\r?\n", re.IGNORECASE)
 
 

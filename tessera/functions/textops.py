@@ -123,4 +123,5 @@ def contains_any(text: Column, markers: list[str]) -> Column:
 
 
 def fenced_blocks(text: Column) -> Column:
+    """Contents of fenced blocks, in order; the form of a fence is a fixed value."""
     return F.regexp_extract_all(text, F.lit(r"(?is)```(?:json)?[ \t]*\r?\n(.*?)```"), F.lit(1))
