@@ -39,8 +39,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_all(
         [
-            flatten_nested(table(spark, sf_dir, "samples").dropDuplicates(["row_index"]), "gold", "row_index", "gold"),
-            flatten_nested(table(spark, sf_dir, "predictions").dropDuplicates(["pred_id"]), "prediction", "pred_id", "prediction"),
+            flatten_nested(table(spark, sf_dir, "samples").select("row_index", "gold").dropDuplicates(["row_index"]), "gold", "row_index", "gold"),
+            flatten_nested(table(spark, sf_dir, "predictions").select("pred_id", "prediction").dropDuplicates(["pred_id"]), "prediction", "pred_id", "prediction"),
         ]
     )
 
