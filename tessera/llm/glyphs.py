@@ -16,6 +16,8 @@ from hashlib import blake2b
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tessera.runtime import cut
+
 # Letters of other alphabets that look like a Latin letter.
 LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
@@ -217,11 +219,13 @@ def look_alike_pairs(df: DataFrame, group: str, key: str, text: str) -> DataFram
     is on 128-bit digests of look and spelling, meets records of different spellings only, and a spelling with many
     records is split by Spark's skew join. Other columns of df, whatever their names, are not read.
     """
-    d = F.pandas_udf(_digests, T.StructType([T.StructField("look", T.BinaryType()), T.StructField("chars", T.BinaryType())]))(F.col(text))
+    # not deterministic: else the filter on the digests would compute them a second time
+    kind = T.StructType([T.StructField("look", T.BinaryType()), T.StructField("chars", T.BinaryType())])
+    d = F.pandas_udf(_digests, kind).asNondeterministic()(F.col(text))
     rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(group).alias("_g"), F.col(key).alias("_id"), d.alias("_d"))
     rows = rows.select("_g", "_id", F.col("_d.look").alias("_look"), F.col("_d.chars").alias("_chars")).where(F.col("_look").isNotNull()).distinct()
     spelled = rows.groupBy("_g", "_look").agg(F.min("_chars").alias("_lo"), F.max("_chars").alias("_hi")).where(F.col("_lo") != F.col("_hi"))
-    many = rows.join(spelled.select("_g", "_look"), ["_g", "_look"], "left_semi")
+    many = cut(rows.join(spelled.select("_g", "_look"), ["_g", "_look"], "left_semi"))
     # spellings of one look are paired first, then their records: no two records of one spelling ever meet
     spellings = many.select("_g", "_look", "_chars").distinct()
     other = spellings.select("_g", "_look", F.col("_chars").alias("_other"))
