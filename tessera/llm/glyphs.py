@@ -224,6 +224,7 @@ def look_alike_pairs(df: DataFrame, group: str, key: str, text: str) -> DataFram
     d = F.pandas_udf(_digests, kind).asNondeterministic()(F.col(text))
     rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(group).alias("_g"), F.col(key).alias("_id"), d.alias("_d"))
     rows = rows.select("_g", "_id", F.col("_d.look").alias("_look"), F.col("_d.chars").alias("_chars")).where(F.col("_look").isNotNull()).distinct()
+    rows = cut(rows)  # digests and ids only: both readers below would else digest all texts again
     spelled = rows.groupBy("_g", "_look").agg(F.min("_chars").alias("_lo"), F.max("_chars").alias("_hi")).where(F.col("_lo") != F.col("_hi"))
     many = cut(rows.join(spelled.select("_g", "_look"), ["_g", "_look"], "left_semi"))
     # spellings of one look are paired first, then their records: no two records of one spelling ever meet
