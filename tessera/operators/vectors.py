@@ -1,9 +1,18 @@
-"""Pairs of vectors by cosine, inside blocks."""
+"""Pairs of vectors by cosine, over whole tables and inside blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: vectors of one tile; two of them are held at a time
+TILE = 2048
+#: more than the rounding of a matrix product of unit vectors
+_SLACK = 1e-9
+
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in DOUBLE."""
@@ -17,13 +26,63 @@ def cosine(a: Column, b: Column) -> Column:
 def block_pairs(df: DataFrame, block: str, key: str, vector: str, least: float) -> DataFrame:
     """left_id < right_id and cosine of pairs of one block (a clip's voices, a label) that reach `least`.
 
-    Blocks must be small by nature; use signed projections (bands) where they are not."""
+    Blocks must be small by nature; `all_pairs` compares a whole table."""
     a = df.select(F.col(block).alias("block"), F.col(key).alias("left_id"), F.col(vector).alias("_a"))
     b = df.select(F.col(block).alias("block"), F.col(key).alias("right_id"), F.col(vector).alias("_b"))
     pairs = a.join(b, "block").where(F.col("left_id") < F.col("right_id")).withColumn("cosine", cosine(F.col("_a"), F.col("_b")))
     return pairs.where(F.col("cosine") >= least).select("block", "left_id", "right_id", "cosine")
 
 
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row cosines, added up in the order of `cosine`."""
+    sums = np.zeros((3, len(a)))
+    for d in range(a.shape[1]):
+        sums += a[:, d] * b[:, d], a[:, d] * a[:, d], b[:, d] * b[:, d]
+    return sums[0] / (np.sqrt(sums[1]) * np.sqrt(sums[2]))
+
+
+def _tiled(df: DataFrame, key: str, vector: str, fn: Callable, schema: str, tile: int) -> DataFrame:
+    """fn(left ids, left vectors, right ids, right vectors, cosines, type of the ids) on each two tiles of the table, every pair of rows
+    with left id < right id in one of them; of other places the cosine is NaN. Vectors that are null, have null or NaN
+    elements or no length have no cosine; vectors of different widths have none with each other."""
+    kept = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("width")).where(F.col("id").isNotNull() & (F.col("width") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    tiles = kept.groupBy().agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / tile)).alias("tiles"))
+    own = kept.crossJoin(F.broadcast(tiles)).withColumn("own", F.pmod(F.xxhash64("id"), "tiles"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
+    met = met.select("id", "v", "width", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def run(group: tuple, rows: pa.Table) -> pa.Table:
+        width, low, high = (x.as_py() for x in group)
+        ids, at = rows["id"].to_numpy(), rows["own"].to_numpy()
+        v = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+        some = (v * v).sum(axis=1) > 0
+        ids, at, v = ids[some], at[some], v[some]
+        u = v / np.sqrt((v * v).sum(axis=1))[:, None]
+        a, b = at == low, at == high
+        cosines = u[a] @ u[b].T
+        if low == high:
+            cosines[~(ids[:, None] < ids[None, :])] = np.nan
+        return fn(ids[a], v[a], ids[b], v[b], cosines, rows.schema.field("id").type)
+
+    return met.groupBy("width", "low", "high").applyInArrow(run, schema)
+
+
+def all_pairs(df: DataFrame, key: str, vector: str, least: float, tile: int = TILE) -> DataFrame:
+    """left_id < right_id and cosine of every pair of the table that reaches `least`: tiles of the table against each
+    other, so no pair is lost and no more than two tiles are held. The work grows with the square of the rows."""
+    kind = df.select(key).schema[0].dataType.simpleString()
+
+    def like(left, a, right, b, cosines, ids) -> pa.Table:
+        i, j = np.nonzero(cosines >= least - _SLACK)
+        c = _exact(a[i], b[j])
+        i, j, c = i[c >= least], j[c >= least], c[c >= least]
+        swap = (left[i] > right[j]).astype(bool)
+        first, second = np.where(swap, right[j], left[i]), np.where(swap, left[i], right[j])
+        return pa.table({"left_id": pa.array(first, ids), "right_id": pa.array(second, ids), "cosine": c})
+
+    return _tiled(df, key, vector, like, f"left_id {kind}, right_id {kind}, cosine double", tile)
+
+
 def pair_decision(similarity: Column, same: float = 0.55, different: float = 0.30) -> Column:
     """'same', 'different' or 'ambiguous'; NULL stays 'not_evaluable'."""
     return F.when(similarity.isNull(), "not_evaluable").when(similarity >= same, "same").when(similarity <= different, "different").otherwise("ambiguous")

@@ -113,9 +113,8 @@ def caption_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of like vectors in blocks of twenty neighbouring ids."""
-    e = table(spark, sf_dir, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 20))
-    return vectors.block_pairs(e, "block", "vec_id", "embedding", 0.2).select("left_id", "right_id", F.round(F.col("cosine") * 10000).cast("int").alias("cosine"))
+    """Pairs of like vectors of the whole table."""
+    return vectors.all_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.2).select("left_id", "right_id", F.round(F.col("cosine") * 10000).cast("int").alias("cosine"))
 
 
 def embedding_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
