@@ -82,13 +82,17 @@ def _any(words: list[str]) -> str:
     return "(?:" + "|".join(r"[\W_]{1,3}".join(map(re.escape, w.split(" "))) for w in sorted(words, key=len, reverse=True)) + ")"
 
 
+def _han_closed(words: list[str]) -> list[str]:
+    """Each word without one of its inner characters: its mask was closed up as a gap."""
+    return [w[:k] + w[k + 1 :] for w in words if re.fullmatch(r"[一-鿿]{2,}", w) for k in range(1, len(w) - 1)]
+
+
 def _han_masked(words: list[str]) -> str:
     """Each word with one of its characters masked, or its last one in Latin letters."""
-    out = [r"[一-鿿]zha"]
+    out = [r"[一-鿿]zha", *_han_closed(words)]
     for w in words:
         if re.fullmatch(r"[一-鿿]{2,}", w):
             out += ["".join(f"[{_MASK}]" if i == k else c for i, c in enumerate(w)) for k in range(1, len(w))]
-            out += [w[:k] + w[k + 1 :] for k in range(1, len(w) - 1)]  # its mask was closed up as a gap
     return "(?:" + "|".join(sorted(set(out), key=len, reverse=True)) + ")"
 
 
@@ -149,20 +153,20 @@ _MANY = r"(?:all|every|every one of|each of|those|these|the|no|most|any|keep|sen
 RULES: tuple[Rule, ...] = (
     # address that is abuse by itself
     _r("address", 1.0, rf"\b(?:shut (?:your mouth|up|the fuck up),? you|get lost,? you|come here,? you|listen(?: here)?,? you)\s+{_SLOT}(?=[.!?,\"”\n]|$)", "shut_ get_lost come_here listen"),
-    _r("address", 1.0, r"\b(?:fuck|screw|piss) (?:off|you|your)|\bgo (?:fuck|screw|hang|kill) yourself|\bgo f\W{1,6} ?yourself|\bf(?:u|\W)ck (?:off|you)|\bfucking? (?:you|your|idiot|hell of a)", "fuck screw piss_ yourself"),
+    _r("address", 1.0, r"\b(?:fuck|screw|piss) (?:off|you|your)|\bgo (?:fuck|screw|hang|kill) yourself|\bgo f\W{1,6} ?yourself|\bf(?:u|\W)ck (?:off|you)|\bfucking? (?:you|your|idiot|hell of a)", "fuck screw piss_ yourself ck_off ck_you"),
     _r("address", 1.0, r"\bgo fxqx (?:yourself|off|you)|\bfxqx (?:off|you|yourself)|\bfuck (?:off|you)|\bgo fuck", "fxqx fuck", "folded"),
     _r("address", 0.8, rf"{_B}(?:you are|you're|you) (?:(?:are|such|really|just|nothing but) )*(?:a |an )?(?:(?:complete|total|absolute|stupid|fucking|dirty|damn|little) )*{_INS}", _INSULT_ANCHORS, "folded"),
     _r("address", 0.8, rf"\b(?:only|what) an? {_INS}|\b(?:this|that|here|reviewer|editor|director|author|clip|rendered|he|she|it|they|who\w*) (?:is|are|was) (?:an? |such an? |the )?(?:\w+ )?{_INS}|\blisten,? {_INS}|\bget lost,? {_INS}", _INSULT_ANCHORS, "folded"),
     _r("address", 0.5, r"\bnobody asked you\b|\blike you would ship this\b|\bfuck|\bshit\b|\bi want to slap\b", "asked_you ship_this fuck shit slap"),
     _r("insult", 0.55, _INS, _INSULT_ANCHORS, "folded"),
     Rule("insult", 0.6, _ZH, (*_HAN_CLEAR, "sb"), "han"),
-    _r("address", 1.0, r"操你[妈媽]|[草肏艹]你[妈媽]|日你[妈媽]|去你[妈媽]的|你[妈媽]的|你[妈媽]逼|fuck你", "操你 草你 肏你 艹你 日你 去你 你妈 你媽", "han"),
+    _r("address", 1.0, r"操你[妈媽]|[草肏艹]你[妈媽]|日你[妈媽]|去你[妈媽]的|你[妈媽]的|你[妈媽]逼|fuck你", "操你 草你 肏你 艹你 日你 去你 你妈 你媽 fuck", "han"),
     _r("address", 0.7, r"(?:闭嘴|住口|滚开|滚蛋|滚出去|滚回|给我滚)[,，!！ ]|妈的[,，]|他妈的|给我跪下|没人问你", "闭嘴 住口 滚 妈的 跪下 没人问你", "han"),
     _r("address", 0.6, r"你(?:们)?(?:这个|这种|就是个|就是一个|真是个|是个|个)|又是这个|的人是|的人都是|只有[^。!?！？\n]{1,12}才会|大骂|骂道|吼道", "你 又是这个 的人 只有 骂 吼道", "han", False),
     _r("address", 0.6, r"黙れ|出て行け|失せろ|消えろ|死ね|お前[はらが]|てめ[えぇー]|貴様", "黙れ 出て行け 失せろ 消えろ 死ね お前 てめ 貴様"),
     _r("address", 0.6, r"\b(?:ferme ta gueule|ta gueule|va te faire|nique ta|tu es un|espèce d|cállate|eres (?:un|una)|vete a|que te jodan|tu puta madre|заткнись|пошёл|пошел|иди на|ты (?:полный|просто|такой|же)|чтоб ты)", "gueule va_te nique tu_es espèce cállate eres_un vete_a jodan puta заткн пош иди_на ты_полный ты_просто ты_такой ты_же чтоб_ты"),
     # threats and wishes of harm against persons
-    _r("harm", 0.6, rf"\b{_HARM}", "wake_up jump rot_ chok beat sick breathing break_ regret a_tear drop_dead kill_ hang_ slap_ punch_ shoot_ stab_ strangle slit_ burn_in burn_their crawl_back better_off waste_of without_you ashamed deserve hope_you should_die should_have should_never your_back you_live gut_you bury_you"),
+    _r("harm", 0.6, rf"\b{_HARM}", "wake_up jump rot_ chok beat sick breathing break_ regret a_tear drop_dead kill_ hang_ slap_ punch_ shoot_ stab_ strangle slit_ burn_you burn_in burn_their crawl_back better_off waste_of without_you ashamed deserve hope_you should_die should_have should_never been_aborted your_back you_live gut_you bury_you"),
     _r("harm", 1.0, r"\bcrawl back (?:under|into|to) your|\bdo (?:everyone|us all|the world) a favou?r and (?:stop breathing|die|disappear|jump)|\bgo (?:die|drown|choke)\b", "crawl_back favour favor go_die go_drown go_choke"),
     _r("person", 0.5, rf"\b{_PERSON}", "you whoever the_ him her them your someone anyone"),
     _r("harm", 1.0, r"(?:你|你们|像你|这种人|剪这段|写这句|做这个|家伙)[^。!?！？\n]{0,16}(?:去死|死光|断气|打断|拖出去|烂在|跳下去|放屁|恶心死|不得好死|不配活|浪费空气|揍|砍死|弄死|杀了|挨打|别回来|后悔了|下地狱|见鬼|抽死)", "去死 死光 断气 打断 拖出去 烂在 跳下去 放屁 恶心死 好死 不配活 浪费空气 揍 砍死 弄死 杀了 挨打 别回来 后悔了 下地狱 见鬼 抽死", "han"),
@@ -172,9 +176,9 @@ RULES: tuple[Rule, ...] = (
     _r("dehumanise", 1.0, rf"\b{_MANY} [^.!?\n]{{2,40}}?\b(?:are|is) (?:all |nothing but |just )?(?:vermin|filth|animals|parasites|cockroaches|rats|subhuman|savages|scum|a disease|a plague|thie(?:f|ves) by blood|a thief by blood|born (?:liars|thieves|criminals))", "vermin filth animals parasites cockroaches rats subhuman savages scum disease plague by_blood born_"),
     _r("dehumanise", 1.0, r"\b(?:are|is) (?:vermin|subhuman|born (?:liars|thieves|criminals)|a thief by blood|thieves by blood)|\bshould (?:all )?be (?:sterili[sz]ed|thrown out|exterminated|wiped out|deported|gassed|caged)|\bcarry diseases?\b[^.\n]{0,30}burn|\bbred? like (?:rats|rabbits|vermin)|\bin cages\b|\bin (?:the kitchen or in )?chains\b|\bleft alive\b|\bsmell like animals|\bhave smaller brains|\bdo(?:es)? not deserve to be treated as humans?|\bruin every (?:street|town|place)|\bare not (?:really )?human|\baway from our children, they are|\bnever hire one\b|\bgo back to (?:your|their) (?:country|cave|jungle)", "vermin subhuman born_ by_blood sterili thrown_out exterminat wiped_out deported gassed caged disease like_rats like_rabbits like_vermin cages chains left_alive smell_like smaller_brains not_deserve ruin_every not_human not_really our_children hire_one go_back"),
     _r("dehumanise", 1.0, r"都是(?:害虫|寄生虫|老鼠|蟑螂|畜生|垃圾|小偷|骗子|罪犯)|全部赶出去|跟(?:牲口|畜生|猪狗)没(?:两样|区别)|不配当人|不配做人|断子绝孙|关进笼子|要是没有[^。\n]{1,14}(?:干净|太平|清净)|走到哪脏到哪|低人一等|天生就是(?:小偷|骗子|贼|坏种)|骨子里(?:脏|坏)|身上都带病|脑子天生|生下来就(?:低|贱|坏)|别录用|滚回(?:老家|你们)|全部?杀光|灭绝", "都是 全部 跟 不配 断子绝孙 笼子 要是没有 走到哪 低人一等 天生 骨子里 带病 生下来 别录用 滚回 杀光 灭绝", "han"),
-    _r("dehumanise", 1.0, r"\bson (?:unas )?(?:ratas|cucarachas|escoria|parásitos|basura)\b|\bque se larguen|\bsont (?:de la |des |tous des )?(?:vermine|cafards|rats|parasites|ordures)\b|(?:—|это|все)\s*(?:паразиты|крысы|мусор|твари|скот)|гнать их вон|(?:全員|みんな)(?:害虫|ゴミ|クズ|寄生虫)|人は害虫", "ratas cucarachas escoria parásitos larguen vermine cafards sont паразиты крысы мусор твари скот гнать 全員 みんな 害虫"),
+    _r("dehumanise", 1.0, r"\bson (?:unas )?(?:ratas|cucarachas|escoria|parásitos|basura)\b|\bque se larguen|\bsont (?:de la |des |tous des )?(?:vermine|cafards|rats|parasites|ordures)\b|(?:—|это|все)\s*(?:паразиты|крысы|мусор|твари|скот)|гнать их вон|(?:全員|みんな)(?:害虫|ゴミ|クズ|寄生虫)|人は害虫", "ratas cucarachas escoria parásitos basura larguen vermine cafards sont паразиты крысы мусор твари скот гнать 全員 みんな 害虫"),
     # explicit
-    _r("explicit", 1.0, r"\bmasturbat|\bfondl\w+ (?:and|her|him|his)|\b(?:have|has|having|had) (?:sex|intercourse)\b|\bboner\b|\bpanties\b|\bbegs? for more|\bclimax(?:es|ed)?\b(?! of the (?:film|story|scene))|\bporn|\bsend (?:me )?nudes\b|\bnudes of\b|\blegs spread|\bspread (?:her|his|their|your) legs|\bblow ?job|\bhand ?job|\borgasm|\bcum(?:s|ming|shot)?\b|\bjerk(?:s|ing)? off|\bgang ?bang|\bdildo|\bher tits\b|\bshow (?:me )?(?:more of )?(?:her|your) (?:bare )?(?:tits|breasts|ass)|\btouch(?:es|ing)? (?:herself|himself)|\blick (?:every part|her|his|my) |\brough and from behind|\bcamera between the thighs|\brides? (?:him|her) hard|\bmoaning loudly|\bfuck(?:s|ed|ing)? (?:her|him|hard|me)\b|\bpussy\b|\bbare breasts", "masturb fondl sex intercourse boner panties begs beg_for climax porn nudes legs blow hand_job handjob orgasm cum jerk gang dildo tits breasts her_ass your_ass touch lick rough_and thighs him_hard her_hard moaning fuck pussy"),
+    _r("explicit", 1.0, r"\bmasturbat|\bfondl\w+ (?:and|her|him|his)|\b(?:have|has|having|had) (?:sex|intercourse)\b|\bboner\b|\bpanties\b|\bbegs? for more|\bclimax(?:es|ed)?\b(?! of the (?:film|story|scene))|\bporn|\bsend (?:me )?nudes\b|\bnudes of\b|\blegs spread|\bspread (?:her|his|their|your) legs|\bblow ?job|\bhand ?job|\borgasm|\bcum(?:s|ming|shot)?\b|\bjerk(?:s|ing)? off|\bgang ?bang|\bdildo|\bher tits\b|\bshow (?:me )?(?:more of )?(?:her|your) (?:bare )?(?:tits|breasts|ass)|\btouch(?:es|ing)? (?:herself|himself)|\blick (?:every part|her|his|my) |\brough and from behind|\bcamera between the thighs|\brides? (?:him|her) hard|\bmoaning loudly|\bfuck(?:s|ed|ing)? (?:her|him|hard|me)\b|\bpussy\b|\bbare breasts", "masturb fondl sex intercourse boner panties begs beg_for climax porn nudes legs blow hand_job handjob orgasm cum jerk gang dildo tits breasts her_ass your_ass bare_ass touch lick rough_and thighs him_hard her_hard moaning fuck pussy"),
     _r("nude", 0.5, r"\bnaked\b(?! eye)|\bstripped bare\b|\bstrips? naked\b|\btopless\b|\bundress(?:es|ed)?\b|\bfully (?:exposed|explicit|nude)\b|\bnothing covered\b|\bno blanket\b", "naked stripped strip topless undress fully nothing_covered no_blanket"),
     _r("nude", 0.5, r"\b(?:sucks?|fondles?|moans?|gasps? with pleasure|thrusts?)\b|\bfrom behind\b|\bbetween (?:her|his|the) thighs\b|\bon the sofa\b.*\bmoan", "suck fondle moan gasp thrust from_behind thighs"),
     _r("explicit", 1.0, r"自慰|手淫|做爱|口交|性交|呻吟|爱抚|射了|射精|从后面再来|腿张开|张开(?:双)?腿|裸照|全裸|黄片|色情片|A片|乳房|奶子|下体|阴(?:道|茎|部)|高潮|都硬了|露(?:点|出)胸|多露|脱光|脱得精光|舔(?:她|他|遍)|骑在(?:他|她)身上|做愛|強姦|强奸|轮奸|肉棒|内射|裸聊|约炮", "自慰 手淫 做爱 口交 性交 呻吟 爱抚 射 再来 张开 裸 黄片 色情 a片 A片 乳房 奶子 下体 阴 高潮 都硬了 露 脱光 精光 舔 骑在 做愛 姦 奸 肉棒 约炮", "han"),
@@ -182,9 +186,9 @@ RULES: tuple[Rule, ...] = (
     # quoted and reported wording counts as wording: it makes an insult an address to somebody
     _r("reported", 0.0, r"\b(?:yelled|shouted|said|wrote|whispers?|screamed|writes)\b|[说骂喊写叫][道:]?[:,]?[“\"]|反馈原文", "yelled shouted said wrote whisper screamed writes 说 骂 喊 写 叫 反馈原文"),
     # uses without offence, and notes about such content
-    _r("neutral", -1.0, r"\b(?:idiot|dumb|cretin) board|\bkill (?:the|that|all) (?:background|noise|music|light|lights|sound|audio)|\bnaked eye|\bbarbie|\bbreaststroke|\bchicken breasts?|\bclimax of the|\bspank the rug|\bstrip the paint|\bsame old jerk", "board kill_ naked_eye breast climax_of rug paint"),
+    _r("neutral", -1.0, r"\b(?:idiot|dumb|cretin) board|\bkill (?:the|that|all) (?:background|noise|music|light|lights|sound|audio)|\bnaked eye|\bbarbie|\bbreaststroke|\bchicken breasts?|\bclimax of the|\bspank the rug|\bstrip the paint|\bsame old jerk", "board kill_ naked_eye barbie breast climax_of rug paint jerk"),
     _r("neutral", -1.0, r"白痴板|垃圾(?:分类|桶|车|堆|袋|场)|废物利用|傻瓜(?:相机|式)|神经病学|鸡胸|热狗|死机|裸眼|肉色|性别|性格|性能|高潮迭起|剧情高潮", "白痴板 垃圾 废物利用 傻瓜 神经 鸡胸 热狗 死机 裸眼 肉色 性 高潮", "han"),
-    _r("rule", -2.0, r"\b(?:no|without|avoid|never any|must not|may not|do not (?:show|use)|free of) (?:any )?(?:nudity|insults?|violence|slurs?|porn\w*|sex|profanity|hate|abuse|naked|explicit)|\b(?:slurs?|insults?|abuse|profanity|comments?)[^.\n]{0,40}\b(?:removed|deleted|filtered|blocked|hidden|flagged)\b|\bmoderation note", "nudity insult violence slur porn sex profanity hate abuse naked explicit moderation"),
+    _r("rule", -2.0, r"\b(?:no|without|avoid|never any|must not|may not|do not (?:show|use)|free of) (?:any )?(?:nudity|insults?|violence|slurs?|porn\w*|sex|profanity|hate|abuse|naked|explicit)|\b(?:slurs?|insults?|abuse|profanity|comments?)[^.\n]{0,40}\b(?:removed|deleted|filtered|blocked|hidden|flagged)\b|\bmoderation note", "nudity insult violence slur porn sex profanity hate abuse naked explicit moderation comment"),
     _r("rule", -2.0, r"(?:不得|禁止|不要|不能|避免|严禁|不允许)(?:出现|有|使用|含有)?[^。\n]{0,12}(?:裸露|辱骂|歧视|色情|暴力|脏话|低俗)|(?:辱骂|脏话|色情|歧视)[^。\n]{0,16}(?:删除|屏蔽|过滤|移除|清理)|审核说明", "裸露 辱骂 歧视 色情 暴力 脏话 低俗 审核说明", "han"),
 )
 
@@ -201,12 +205,12 @@ class Grammar:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         self.index = self._automaton(range(len(rules)))
-        self.trigger = self._automaton([i for i, r in enumerate(rules) if r.tag in _CARRY and r.carries])
+        self.trigger = self._automaton([i for i, r in enumerate(rules) if r.tag in _CARRY and r.carries], _han_closed(_HAN_CLEAR))
 
-    def _automaton(self, chosen):
+    def _automaton(self, chosen, more=()):
         import ahocorasick
 
-        by: dict[str, set[int]] = {}
+        by: dict[str, set[int]] = {a: set() for a in more}
         for i in chosen:
             for a in self.rules[i].anchors:
                 by.setdefault(a, set()).add(i)
@@ -267,7 +271,8 @@ class Grammar:
             return 0.0
         # a full stop put inside a word must not end its clause
         plain = re.sub(r"(?<=[^\W\d_])\.(?=[^\W\d_])", "", self.plain(text))
-        if not self.triggered(self.views(plain)):
+        # a written \\n ends a clause, so the word behind it begins there
+        if not self.triggered(self.views(plain.replace("\\n", "\n"))):
             return 0.0
         return max((self.accept(self.tags(c)) for c in dict.fromkeys(self.clauses(plain))), default=0.0)
 
