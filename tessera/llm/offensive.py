@@ -195,6 +195,26 @@ RULES: tuple[Rule, ...] = (
 _SPLIT = re.compile(r"[\n。！？!?;；]+|\.(?=\s|\"|”|$)|\\n")
 
 
+#: what a ban goes on to behind a comma: a further item of its list, not a sentence about somebody
+_ITEM = re.compile(r"\s*(?:(?:and|or|nor|no|not|without|any|including|such as)\b|[或和及、不禁]|以及|也不|严禁|避免|包括|(?:[a-z'\-]+ ?){1,3}$)")
+_SOMEBODY = re.compile(rf"\b(?:i|he|she|they|we|it|this|that)\b|[你您妳他她我]|{_PERSON}")
+_COMMA = re.compile("[,，]")
+#: governs all that follows in its clause
+_NOTE = re.compile("moderation note|审核说明")
+
+
+def _ban_end(text: str, end: int) -> int:
+    """Where the list that a ban at text[..end] governs ends."""
+    comma = _COMMA.search(text, end)
+    while comma:
+        following = _COMMA.search(text, comma.end())
+        part = text[comma.end() : following.start() if following else len(text)]
+        if not _ITEM.match(part) or _SOMEBODY.search(part):
+            return comma.start()
+        comma = following
+    return len(text)
+
+
 #: tags that can carry a clause; without one of their anchors it scores 0
 _CARRY = ("insult", "address", "harm", "dehumanise", "explicit", "nude")
 
@@ -238,21 +258,42 @@ class Grammar:
         for v in dict.fromkeys(views.values()):
             for _, ids in self.index.iter(v):
                 found |= ids
+        rules = [self.rules[i] for i in sorted(found)]
         out = []
-        for i in sorted(found):
-            r = self.rules[i]
-            if m := r.regex.search(views[r.view]):
+        if cancelling := [r for r in rules if r.weight < 0]:
+            out = [(r.tag, r.weight, m[0]) for r in cancelling if (m := r.regex.search(views[r.view]))]
+            if out:
+                clause = self.cancelled(clause, cancelling)
+                views = self.views(clause)
+                views["han"] = self.cancelled(views["han"], cancelling)
+        for r in rules:
+            if r.weight >= 0 and (m := r.regex.search(views[r.view])):
                 out.append((r.tag, r.weight, m[0]))
         kinds = {t for t, _, _ in out}
         if "address" in kinds and "insult" not in kinds and (m := _ZH_MASKED.search(clause) or _ZH_MASKED.search(views["han"])):
             out.append(("insult", 0.6, m[0]))
         return out
 
+    def cancelled(self, text: str, rules: list[Rule]) -> str:
+        """text with what neutral uses span and what notes and bans govern blanked: no other tag is found in there."""
+        spans = []
+        for r in rules:
+            for m in r.regex.finditer(text):
+                end = m.end()
+                if r.tag == "rule":
+                    end = len(text) if _NOTE.search(m[0]) else _ban_end(text, end)
+                spans.append((m.start(), end))
+        for a, b in spans:
+            text = text[:a] + "\0" * (b - a) + text[b:]
+        return text
+
     def accept(self, tags: list[tuple[str, float, str]]) -> float:
-        """Weight of a clause: what stands together counts together."""
+        """Weight of a clause: what stands together counts together. Neutral uses and rules have cancelled the tags in
+        their reach already and take nothing from the others."""
         w: dict[str, float] = {}
         for tag, weight, _ in tags:
-            w[tag] = min(w.get(tag, 0.0) + weight, 1.6) if weight > 0 else min(w.get(tag, 0.0), weight)
+            if weight >= 0:
+                w[tag] = min(w.get(tag, 0.0) + weight, 1.6)
         insult = w.get("insult", 0.0) + w.get("address", 0.0)
         if "insult" in w and "person" in w:
             insult += 0.45
@@ -261,7 +302,7 @@ class Grammar:
         harm = w.get("harm", 0.0) + (w.get("person", 0.0) if "harm" in w else 0.0)
         sexual = w.get("explicit", 0.0) + w.get("nude", 0.0)
         best = max(insult, harm, w.get("dehumanise", 0.0), sexual)
-        return max(0.0, best + w.get("neutral", 0.0) + w.get("rule", 0.0))
+        return best
 
     def plain(self, text: str) -> str:
         return own_alphabet(widths(text)).lower()
