@@ -41,18 +41,25 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sums[0] / (np.sqrt(sums[1]) * np.sqrt(sums[2]))
 
 
-def _tiled(df: DataFrame, key: str, vector: str, fn: Callable, schema: str, tile: int) -> DataFrame:
-    """fn(left ids, left vectors, right ids, right vectors, cosines, type of the ids) on each two tiles of the table, every pair of rows
-    with left id < right id in one of them; of other places the cosine is NaN. Vectors that are null, have null or NaN
-    elements or no length have no cosine; vectors of different widths have none with each other."""
-    kept = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("width")).where(F.col("id").isNotNull() & (F.col("width") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    tiles = kept.groupBy().agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / tile)).alias("tiles"))
-    own = kept.crossJoin(F.broadcast(tiles)).withColumn("own", F.pmod(F.xxhash64("id"), "tiles"))
+def _tiled(df: DataFrame, key: str, vector: str, fn: Callable, schema: str, tile: int, block: str | None = None) -> DataFrame:
+    """fn(left ids, left vectors, right ids, right vectors, cosines, type of the ids) on each two tiles of the table, or of
+    each block (with the block before the columns of schema), every pair of rows with left id < right id in one of them;
+    of other places the cosine is NaN. Vectors that are null, have null or NaN elements or no length have no cosine;
+    vectors of different widths have none with each other."""
+    kept = df.select((F.col(block) if block else F.lit(0)).alias("block"), F.col(key).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("width")).where(F.col("id").isNotNull() & (F.col("width") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    count = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / tile)).alias("tiles")
+    if block:
+        tiles = kept.groupBy(F.col("block").alias("_block")).agg(count)
+        counted = kept.join(tiles, kept["block"].eqNullSafe(tiles["_block"])).drop("_block")
+        schema = f"block {kept.schema['block'].dataType.simpleString()}, {schema}"
+    else:
+        counted = kept.crossJoin(F.broadcast(kept.groupBy().agg(count)))
+    own = counted.withColumn("own", F.pmod(F.xxhash64("id"), "tiles"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
-    met = met.select("id", "v", "width", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    met = met.select("block", "id", "v", "width", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def run(group: tuple, rows: pa.Table) -> pa.Table:
-        width, low, high = (x.as_py() for x in group)
+        width, low, high = (x.as_py() for x in group[1:])
         ids, at = rows["id"].to_numpy(), rows["own"].to_numpy()
         v = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
         some = (v * v).sum(axis=1) > 0
@@ -62,9 +69,10 @@ def _tiled(df: DataFrame, key: str, vector: str, fn: Callable, schema: str, tile
         cosines = u[a] @ u[b].T
         if low == high:
             cosines[~(ids[:, None] < ids[None, :])] = np.nan
-        return fn(ids[a], v[a], ids[b], v[b], cosines, rows.schema.field("id").type)
+        out = fn(ids[a], v[a], ids[b], v[b], cosines, rows.schema.field("id").type)
+        return out.add_column(0, "block", pa.array([group[0].as_py()] * out.num_rows, group[0].type)) if block else out
 
-    return met.groupBy("width", "low", "high").applyInArrow(run, schema)
+    return met.groupBy("block", "width", "low", "high").applyInArrow(run, schema)
 
 
 def all_pairs(df: DataFrame, key: str, vector: str, least: float, tile: int = TILE) -> DataFrame:
@@ -88,11 +96,28 @@ def pair_decision(similarity: Column, same: float = 0.55, different: float = 0.3
     return F.when(similarity.isNull(), "not_evaluable").when(similarity >= same, "same").when(similarity <= different, "different").otherwise("ambiguous")
 
 
+def block_extremes(df: DataFrame, block: str, key: str, vector: str, tile: int = TILE) -> DataFrame:
+    """Least and greatest cosine of the pairs of each block, exact; blocks without a pair have no row."""
+
+    def ends(left, a, right, b, cosines, ids) -> pa.Table:
+        if not np.isfinite(cosines).any():
+            return pa.table({"low": pa.array([], pa.float64()), "high": pa.array([], pa.float64())})
+        i, j = np.nonzero((cosines <= np.nanmin(cosines) + _SLACK) | (cosines >= np.nanmax(cosines) - _SLACK))
+        c = _exact(a[i], b[j])
+        return pa.table({"low": [c.min()], "high": [c.max()]})
+
+    found = _tiled(df, key, vector, ends, "low double, high double", tile, block)
+    return found.groupBy("block").agg(F.min("low").alias("min_cosine"), F.max("high").alias("max_cosine"))
+
+
 def block_quality(df: DataFrame, block: str, key: str, vector: str) -> DataFrame:
-    """Members, pairs and mean pairwise cosine of each block, from the norm of the sum of unit vectors: no pair is made.
+    """Members, pairs and mean, least and greatest pairwise cosine of each block: the mean from the norm of the sum of
+    unit vectors, the ends from all pairs.
 
     Mean cosine over pairs = (|sum|^2 - n) / (n (n - 1))."""
     unit = df.select(F.col(block).alias("block"), F.col(key), F.posexplode(vector).alias("dim", "x"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("len"))
     sums = unit.groupBy("block", "dim").agg(F.sum(F.col("x").cast("double") / F.col("len")).alias("s"), F.count(F.lit(1)).alias("n"))
     n = F.max("n")
-    return sums.groupBy("block").agg(n.alias("members"), (n * (n - 1) / 2).cast("bigint").alias("pairs"), F.try_divide(F.sum(F.col("s") * F.col("s")) - n, n * (n - 1)).alias("mean_cosine"))
+    means = sums.groupBy("block").agg(n.alias("members"), (n * (n - 1) / 2).cast("bigint").alias("pairs"), F.try_divide(F.sum(F.col("s") * F.col("s")) - n, n * (n - 1)).alias("mean_cosine"))
+    ends = block_extremes(df, block, key, vector).withColumnRenamed("block", "_b")
+    return means.join(ends, means["block"].eqNullSafe(ends["_b"]), "left").drop("_b")

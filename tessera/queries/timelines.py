@@ -119,7 +119,7 @@ def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedding_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = vectors.block_quality(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
-    return q.select("block", "members", "pairs", F.round(F.col("mean_cosine") * 10000).cast("int").alias("mean_cosine"))
+    return q.select("block", "members", "pairs", *[F.round(F.col(c) * 10000).cast("int").alias(c) for c in ("mean_cosine", "min_cosine", "max_cosine")])
 
 
 def order_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
