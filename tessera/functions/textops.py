@@ -97,9 +97,9 @@ def quoted_spans(text: Column) -> Column:
 
 
 def canonical_number(raw: Column, least: int = 4) -> Column:
-    """Digits of at least `least` places without leading zeros; NULL for fewer digits and for all zeros."""
+    """Digits of at least `least` places, however many, without leading zeros; NULL for fewer digits and for all zeros."""
     digits = F.regexp_replace(raw, r"[^0-9]", "")
-    return F.when((F.length(digits) >= least) & (F.length(digits) <= 18) & ~digits.rlike("^0*$"), F.regexp_replace(digits, "^0+", ""))
+    return F.when((F.length(digits) >= least) & ~digits.rlike("^0*$"), F.regexp_replace(digits, "^0+", ""))
 
 
 def number_tokens(text: Column) -> Column:
