@@ -195,11 +195,11 @@ ORACLE = {
         CASE WHEN e IS NULL THEN CAST(s AS DOUBLE) ELSE (s + e) / 2.0 END AS middle FROM b""",
     "caption_gaps": f"""WITH {_SEG}, {_SUB}, f AS (SELECT sample_id, s, e FROM seg WHERE sample_id IS NOT NULL AND s IS NOT NULL AND e IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY s, seg_id) = 1)
         SELECT sub_id, CAST(greatest(0, greatest(sub.s, f.s) - least(sub.e, f.e)) AS DOUBLE) AS gap FROM sub JOIN f USING (sample_id) WHERE sub.s IS NOT NULL AND sub.e IS NOT NULL""",
-    "embedding_pairs": """WITH p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.vec_id // 20 = b.vec_id // 20 AND a.vec_id < b.vec_id)
+    "embedding_pairs": """WITH p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
         SELECT left_id, right_id, CAST(round(c * 10000) AS INT) AS cosine FROM p WHERE c >= 0.2""",
     "embedding_quality": """WITH p AS (SELECT a.label AS block, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id),
         n AS (SELECT label AS block, count(*) AS members FROM embeddings GROUP BY label)
-        SELECT block, members, CAST(members * (members - 1) // 2 AS BIGINT) AS pairs, CAST(round(avg(c) * 10000) AS INT) AS mean_cosine FROM n LEFT JOIN p USING (block) GROUP BY block, members""",
+        SELECT block, members, CAST(members * (members - 1) // 2 AS BIGINT) AS pairs, CAST(round(avg(c) * 10000) AS INT) AS mean_cosine, CAST(round(min(c) * 10000) AS INT) AS min_cosine, CAST(round(max(c) * 10000) AS INT) AS max_cosine FROM n LEFT JOIN p USING (block) GROUP BY block, members""",
     "order_line_ranges": """WITH l AS (SELECT l_orderkey, count(*) AS lines, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_orderkey)
         SELECT o_orderkey, o_custkey, coalesce(lines, 0) AS lines, coalesce(quantity, 0) AS quantity, l_orderkey IS NOT NULL AS found FROM orders LEFT JOIN l ON o_orderkey = l_orderkey""",
     "order_last_of_customer": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
