@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.timeops import to_ms
 from tessera.operators.intervals import periods_and_gaps
-from tessera.operators.nested import flatten_nested, object_keys, subtype_table, union_all, variant_counts
+from tessera.operators.nested import POSITIONS, nested_tables, subtype_table, supertype_keys, union_all, variant_counts
 from tessera.operators.packed import split_packed
 from tessera.operators.rejects import load_with_rejects
+from tessera.queries import nested_sql
 from tessera.runtime import spread, table
 
 #: a longer gap is a break in the recording, not a gap
@@ -27,48 +28,79 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods_and_gaps(union_all(tracks), ["track", "sample_id"], "s", "e", BREAK_MS)
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return union_all(
-        [
-            object_keys(spread(table(spark, sf_dir, "samples").select("row_index", "gold")), "gold", "row_index", "gold"),
-            object_keys(spread(table(spark, sf_dir, "predictions").select("pred_id", "prediction")), "prediction", "pred_id", "prediction"),
-        ]
-    )
+def _nested(spark: SparkSession, sf_dir: str, typed: bool = True) -> DataFrame:
+    gold = spread(table(spark, sf_dir, "samples").select("row_index", "gold"))
+    said = spread(table(spark, sf_dir, "predictions").select("pred_id", "prediction"))
+    return union_all([nested_tables(gold, "gold", "row_index", "gold", typed), nested_tables(said, "prediction", "pred_id", "prediction", typed)])
+
 
+def _records(spark: SparkSession, sf_dir: str, typed: bool = True) -> DataFrame:
+    """The nested tables, each record once: repeated deliveries are dropped behind the parsing, where they are small."""
+    return _nested(spark, sf_dir, typed).dropDuplicates(["record_kind", "record_id"])
 
-def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return union_all(
-        [
-            flatten_nested(table(spark, sf_dir, "samples").select("row_index", "gold").dropDuplicates(["row_index"]), "gold", "row_index", "gold"),
-            flatten_nested(table(spark, sf_dir, "predictions").select("pred_id", "prediction").dropDuplicates(["pred_id"]), "prediction", "pred_id", "prediction"),
-        ]
-    )
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supertype_keys(_nested(spark, sf_dir, False))
 
 
 def p6_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects by variant."""
-    return variant_counts(_flat(spark, sf_dir))
+    return variant_counts(_records(spark, sf_dir, False))
+
+
+def _typed_table(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
+    """A subtype table with the key of the parent as one text, NULL for issues."""
+    link = F.concat_ws(":", "record_kind", "record_id", *[F.col("parent")[p] for p in POSITIONS])
+    rows = subtype_table(_records(spark, sf_dir), level)
+    return rows.withColumn("parent_key", F.when(F.col("parent").isNotNull(), link)).drop("parent", "variant")
+
+
+def p6_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed issue table."""
+    return _typed_table(spark, sf_dir, "issue")
 
 
 def p6_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed evidence table with the link to its issue."""
-    return subtype_table(_flat(spark, sf_dir), "evidence")
+    return _typed_table(spark, sf_dir, "evidence")
+
+
+def p6_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed observation table with the link to its evidence."""
+    return _typed_table(spark, sf_dir, "obs")
+
+
+def p6_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of alternatives with the link to their observation."""
+    return _typed_table(spark, sf_dir, "alt")
+
+
+def _lines(spark: SparkSession, sf_dir: str, cells: bool) -> DataFrame:
+    return load_with_rejects(spread(table(spark, sf_dir, "prediction_lines").select("line_id", "file_name", "raw_line")), cells=cells)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = load_with_rejects(spread(table(spark, sf_dir, "prediction_lines").select("line_id", "raw_line")), cells=False)
-    return checked.where(F.col("fail_reason").isNotNull()).select("line_id", "fail_reason").distinct()
+    return _lines(spark, sf_dir, False).where(F.col("fail_reason").isNotNull()).select("line_id", "fail_reason").distinct()
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir, True).where(F.col("fail_reason").isNull()).drop("fail_reason", "csv_error").dropDuplicates(["line_id"])
 
 
 def p7_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The valid records with their seven cells."""
-    checked = load_with_rejects(spread(table(spark, sf_dir, "prediction_lines").select("line_id", "raw_line")))
-    return checked.where(F.col("fail_reason").isNull()).drop("fail_reason", "csv_error").dropDuplicates(["line_id"])
+    """The valid records with their seven cells and the number of their issues."""
+    return _loaded(spark, sf_dir).withColumn("predicted_issues", F.size("issues")).drop("issues")
+
+
+def p7_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed predicted issues of the valid records."""
+    rows = _loaded(spark, sf_dir).select("line_id", F.posexplode("issues").alias("at", "x"))
+    return rows.select("line_id", (F.col("at") + 1).alias("issue_pos"), "x.*")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p6_found, p6_variants, p6_evidence, p7_found, p7_loaded)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p6_found, p6_variants, p6_issues, p6_evidence, p6_observations, p6_alternatives, p7_found, p7_loaded, p7_issues)}
 
-ORACLE = {
+ORACLE = nested_sql.ORACLE | {
     "p4_found": """
         WITH raw AS (
           SELECT 'speech' AS track, sample_id, CAST(round(start_sec * 1000) AS BIGINT) AS s, CAST(round(end_sec * 1000) AS BIGINT) AS e FROM speech_segments

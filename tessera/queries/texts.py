@@ -10,8 +10,9 @@ from tessera.functions.jsonops import cache_key, fingerprint, is_object_array, j
 from tessera.operators import contracts, crosstabs, dialogue
 from tessera.operators.greedy import keep_uncovered
 from tessera.operators.matching import repair_coverage
-from tessera.operators.nested import flatten_nested
+from tessera.operators.nested import nested_tables, subtype_table
 from tessera.plans import rules
+from tessera.queries import nested_sql
 from tessera.runtime import table
 
 KINDS = ["prompt", "feedback", "transcript", "subtitle_dump", "issue_report", "gold_note", "run_log"]
@@ -143,25 +144,29 @@ def sample_fenced_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("row_index", F.size(textops.fenced_blocks(F.col("gold"))).alias("blocks"), F.length(F.try_element_at(textops.fenced_blocks(F.col("gold")), F.lit(-1))).alias("last_length"))
 
 
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The issues of each prediction, however it is wrapped and whatever language its keys have."""
+    nested = nested_tables(table(spark, sf_dir, "predictions").select("pred_id", "prediction"), "prediction", "pred_id", "prediction").dropDuplicates(["record_id"])
+    return subtype_table(nested, "issue")
+
+
 def issue_time_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stated time ranges: which parse, and whether they have a length."""
-    p = table(spark, sf_dir, "predictions").select("pred_id", "prediction").distinct()
-    raw = p.select("pred_id", F.explode(F.regexp_extract_all("prediction", F.lit('"时间区间": "([^"]*)"'), F.lit(1))).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    raw = _issues(spark, sf_dir).where("time_range IS NOT NULL").groupBy(F.col("time_range").alias("raw")).agg(F.count(F.lit(1)).alias("n"))
     a, b = time_range(F.col("raw"), True), time_range(F.col("raw"), False)
     return raw.select("raw", "n", a["start_sec"].alias("start_sec"), a["end_sec"].alias("end_sec"), b.isNotNull().alias("has_length"), duration_within(a["end_sec"] - a["start_sec"], F.lit(3.0), F.lit("exact")).alias("about_three"))
 
 
 def issue_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "predictions").select("pred_id", "prediction").distinct()
-    raw = p.select(F.explode(F.regexp_extract_all("prediction", F.lit("<bbox>([^<]*)</bbox>"), F.lit(1))).alias("raw"))
+    """Stated boxes: which are valid, and their area."""
+    raw = _issues(spark, sf_dir).select(F.explode(F.regexp_extract_all("bbox", F.lit("<bbox>([^<]*)</bbox>"), F.lit(1))).alias("raw"))
     box = bbox_bounds(F.col("raw"))
     return raw.groupBy("raw").agg(F.count(F.lit(1)).alias("n")).select("raw", "n", box.isNotNull().alias("valid"), F.round((box["x2"] - box["x1"]) * (box["y2"] - box["y1"]) * 10000).cast("int").alias("area"))
 
 
 def issue_semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of a prediction that no earlier issue of the same type covers."""
-    flat = flatten_nested(table(spark, sf_dir, "predictions").dropDuplicates(["pred_id"]), "prediction", "pred_id", "prediction").where("level = 'issue'")
-    rows = flat.select("record_id", F.col("issue_pos").alias("pos"), F.col("fields")["issue_type"].alias("issue_type"), F.col("fields")["description"].alias("description"))
+    rows = _issues(spark, sf_dir).select("record_id", F.col("issue_pos").alias("pos"), "issue_type", "description")
     return keep_uncovered(rows, ["record_id", "issue_type"], "description").select("record_id", "pos")
 
 
@@ -224,7 +229,7 @@ ORACLE = {
     "doc_source_crosstab": f"SELECT source, {', '.join(f'count(*) FILTER (doc_kind = {chr(39)}{k}{chr(39)}) AS c_{k}' for k in KINDS)} FROM documents GROUP BY source",
     "doc_manifest_join": f"WITH {_LAST} SELECT doc_id, doc_kind, coalesce(offensive, -1) AS offensive, coalesce(last.reviewer, 'none') AS reviewer, last.doc_id IS NOT NULL AS found FROM documents LEFT JOIN last USING (doc_id)",
     "label_key_violations": "SELECT 'duplicate' AS reason, CAST(doc_id AS VARCHAR) AS key, count(*) AS n FROM review_labels GROUP BY doc_id HAVING count(*) > 1",
-    "label_orphans": """WITH d AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 5 <> 0 AND doc_kind = 'feedback'), r AS (SELECT DISTINCT doc_id FROM review_labels)
+    "label_orphans": """WITH d AS (SELECT DISTINCT doc_id FROM documents), r AS (SELECT DISTINCT doc_id FROM review_labels)
         SELECT 'left' AS side, doc_id AS key FROM d WHERE doc_id NOT IN (SELECT doc_id FROM r) UNION ALL SELECT 'right', doc_id FROM r WHERE doc_id NOT IN (SELECT doc_id FROM d)""",
     "sample_prediction_difference": """WITH a AS (SELECT DISTINCT row_index, sample_id FROM samples), b AS (SELECT DISTINCT row_index, sample_id FROM predictions)
         SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
@@ -241,13 +246,13 @@ ORACLE = {
         CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string((SELECT list(g ORDER BY i) FROM (SELECT g, min(i) AS i FROM (SELECT unnest(regexp_extract_all(lower(text), '<\\|([^|<>]+)\\|>', 1)) AS g, generate_subscripts(regexp_extract_all(lower(text), '<\\|([^|<>]+)\\|>', 1), 1) AS i) GROUP BY g)), ','), '') END AS tags,
         contains(text, '灯笼') OR contains(text, 'lantern') OR contains(text, '(take two)') AS marked FROM t""",
     "doc_canonical_numbers": """WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9,]*(?:\\.[0-9]+)?')) AS raw FROM documents), d AS (SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS x FROM t)
-        SELECT doc_id, raw, CASE WHEN length(x) BETWEEN 4 AND 18 AND NOT regexp_matches(x, '^0*$') THEN regexp_replace(x, '^0+', '') END AS number FROM d""",
+        SELECT doc_id, raw, CASE WHEN length(x) >= 4 AND NOT regexp_matches(x, '^0*$') THEN regexp_replace(x, '^0+', '') END AS number FROM d""",
     "sample_fenced_blocks": """WITH s AS (SELECT DISTINCT row_index, gold FROM samples), b AS (SELECT row_index, gold, regexp_extract_all(gold, '(?is)```(?:json)?[ \\t]*\\r?\\n(.*?)```', 1) AS x FROM s)
         SELECT row_index, CASE WHEN gold IS NULL THEN NULL ELSE len(x) END AS blocks, length(x[-1]) AS last_length FROM b""",
-    "issue_time_ranges": """WITH p AS (SELECT DISTINCT pred_id, prediction FROM predictions), r AS (SELECT unnest(regexp_extract_all(prediction, '"时间区间": "([^"]*)"', 1)) AS raw FROM p), g AS (SELECT raw, count(*) AS n FROM r GROUP BY raw),
+    "issue_time_ranges": f"""{nested_sql.WITH}, r AS (SELECT {nested_sql.text_of('o', '时间区间', 'time_range')} AS raw FROM issue WHERE record_kind = 'prediction'), g AS (SELECT raw, count(*) AS n FROM r WHERE raw IS NOT NULL GROUP BY raw),
         v AS (SELECT *, TRY_CAST(nullif(regexp_extract(raw, '^\\s*(\\d+(?:\\.\\d+)?)\\s*(?:s|秒)?\\s*[-–—~]\\s*(\\d+(?:\\.\\d+)?)\\s*(?:s|秒)?\\s*$', 1), '') AS DOUBLE) AS a, TRY_CAST(nullif(regexp_extract(raw, '^\\s*(\\d+(?:\\.\\d+)?)\\s*(?:s|秒)?\\s*[-–—~]\\s*(\\d+(?:\\.\\d+)?)\\s*(?:s|秒)?\\s*$', 2), '') AS DOUBLE) AS b FROM g)
         SELECT raw, n, CASE WHEN b >= a THEN a END AS start_sec, CASE WHEN b >= a THEN b END AS end_sec, coalesce(b > a, false) AS has_length, CASE WHEN b >= a THEN abs(b - a - 3.0) <= 0.5 END AS about_three FROM v""",
-    "issue_boxes": """WITH p AS (SELECT DISTINCT pred_id, prediction FROM predictions), r AS (SELECT unnest(regexp_extract_all(prediction, '<bbox>([^<]*)</bbox>', 1)) AS raw FROM p), g AS (SELECT raw, count(*) AS n FROM r GROUP BY raw),
+    "issue_boxes": f"""{nested_sql.WITH}, r AS (SELECT unnest(regexp_extract_all({nested_sql.text_of('o', 'BBox', 'bbox')}, '<bbox>([^<]*)</bbox>', 1)) AS raw FROM issue WHERE record_kind = 'prediction'), g AS (SELECT raw, count(*) AS n FROM r GROUP BY raw),
         v AS (SELECT *, list_transform(string_split(raw, ','), lambda x: TRY_CAST(x AS DOUBLE)) AS c FROM g), k AS (SELECT *, coalesce(c[1] >= 0 AND c[2] >= 0 AND c[3] > c[1] AND c[4] > c[2] AND c[3] <= 1 AND c[4] <= 1, false) AS valid FROM v)
         SELECT raw, n, valid, CASE WHEN valid THEN CAST(round((c[3] - c[1]) * (c[4] - c[2]) * 10000) AS INT) END AS area FROM k""",
     "fact_coverage": """WITH d AS (SELECT sample_id, doc_id, doc_kind FROM documents WHERE sample_id IS NOT NULL), f AS (SELECT DISTINCT sample_id, unnest(['prompt', 'feedback', 'transcript']) AS k FROM d),

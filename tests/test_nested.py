@@ -3,11 +3,13 @@ from __future__ import annotations
 import json
 
 from tessera.functions.strictjson import BAD, gold_array, loads
-from tessera.operators.nested import flatten_nested, nodes_of, object_keys, subtype_table
+from tessera.operators.nested import LEVELS, ShapeAutomaton, nested_tables, subtype_table, supertype_keys, variant_counts
 
 
 def paths(kind, text):
-    return [n.path for n in nodes_of(kind, text)]
+    """Keys in the order of a walk, parents first."""
+    auto = ShapeAutomaton()
+    return sorted(key for _, _, key, _ in auto.routed(auto.run(kind, text)))
 
 
 def test_levels_and_wrappings():
@@ -37,8 +39,36 @@ def test_tables(spark):
     issue = {"问题类型": "其他", "证据": [{"工具": "a", "状态": "ok"}]}
     rows = [(1, json.dumps([issue]), "x"), (1, json.dumps([issue]), "x"), (2, None, "x"), (3, "", "x")]
     df = spark.createDataFrame(rows, "pred_id bigint, prediction string, level string")
-    assert sorted(map(tuple, object_keys(df, "prediction", "pred_id", "prediction").collect())) == [("prediction", 1, 1, 0, 0, 0), ("prediction", 1, 1, 1, 0, 0)]
-    flat = flatten_nested(df.limit(1), "prediction", "pred_id", "prediction")
+    assert sorted(map(tuple, supertype_keys(nested_tables(df, "prediction", "pred_id", "prediction", False)).collect())) == [("prediction", 1, 1, 0, 0, 0), ("prediction", 1, 1, 1, 0, 0)]
+    flat = nested_tables(df.limit(1), "prediction", "pred_id", "prediction")
     (e,) = subtype_table(flat, "evidence").collect()
     assert (e.tool, e.status, e.parent.issue_pos, e.parent.evidence_pos) == ("a", "ok", 1, 0)
-    assert flatten_nested(df.limit(0), "prediction", "pred_id", "prediction").collect() == []
+    assert nested_tables(df.limit(0), "prediction", "pred_id", "prediction").collect() == []
+
+
+def test_states_decide():
+    """Objects come out because of the states, and each state has its table."""
+    auto = ShapeAutomaton()
+    issue = {"问题类型": "其他", "证据": [{"工具": "a", "观测": [{"秒": 1}]}]}
+    trees = auto.run("prediction", json.dumps([issue, {"issue": issue}, {"issue": {"issue_type": "x"}, "provenance": {"evidence": {"tool": "t"}}}]))
+    assert [auto.name[t.state] for t in trees] == ["issue(issue_type:str,evidence:list)", "wrapped:issue(issue_type:str,evidence:list)", "beside:issue(issue_type:str,evidence:null)"]
+    assert {auto.route[q] for _, q, _, _ in auto.routed(trees)} == set(LEVELS) - {"alt"}
+    auto.holds = [0] * len(auto.holds)
+    assert auto.run("prediction", json.dumps([issue])) == []
+
+
+def test_any_depth_and_odd_values(spark):
+    text = "[{}]"
+    for _ in range(9):
+        text = json.dumps(text)
+    assert paths("prediction", text) == [(1,)]
+    deep = "[" * 60_000 + "]" * 60_000
+    assert paths("prediction", f'[{{"bbox": {deep}}}, {{}}]') == [(1,), (2,)]
+    assert loads(f'{{"a": {deep}, "b": [1, {{"c": "d"}}]}}')["b"] == [1, {"c": "d"}]
+    for bad in (deep + "]", deep[:-1], deep.replace("[]", "[1,]"), deep.replace("[]", '{"a" 1}'), deep.replace("[]", "[1 2]"), deep.replace("[]", "{1: 2}"), deep.replace("[]", "[:]")):
+        assert loads(bad) is BAD
+    cell = '[{"description": "\\ud800x", "issue_type": 12345678901234567890, "bbox": ' + "9" * 5000 + "}]"
+    df = spark.createDataFrame([(1, cell), (2, f'[{{"bbox": {deep}}}]')], "pred_id bigint, prediction string")
+    a, b = subtype_table(nested_tables(df, "prediction", "pred_id", "prediction"), "issue").orderBy("record_id").collect()
+    assert (a.description, a.issue_type, a.bbox, b.bbox) == ("\ufffdx", "12345678901234567890", "9" * 5000, None)
+    assert sorted(r.variant for r in variant_counts(nested_tables(df, "prediction", "pred_id", "prediction")).collect()) == ["issue(bbox:list,evidence:null)", "issue(description:str,issue_type:num,bbox:num,evidence:null)"]
