@@ -34,11 +34,13 @@ def carry_scan(
     combine: Callable[[Any, Any], Any],
     rescan: Callable[[Batches, Any], Iterator[pa.RecordBatch]],
     schema: str,
+    stored: bool = False,
 ) -> DataFrame:
     """rescan(batches, state) over each partition of `ordered` (as of range_sorted), with state = combine(...) of the
     summaries of all partitions before it. summarise returns a JSON-serialisable summary, or None for no rows.
-    combine(None, s) is the state after the first non-empty partition."""
-    rows = cut(ordered)
+    combine(None, s) is the state after the first non-empty partition. `stored` says that `ordered` is checkpointed
+    already."""
+    rows = ordered if stored else cut(ordered)
 
     def first(batches: Batches) -> Iterator[pa.RecordBatch]:
         summary = summarise(batches)
