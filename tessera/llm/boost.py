@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 import numpy as np
 
 
-def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, lam: float) -> tuple[float, int, float]:
-    """Best (gain, feature, threshold) over all features; thresholds lie halfway between neighbouring values."""
-    best = (1e-9, -1, 0.0)
+def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, lam: float, least: float) -> tuple[float, int, float]:
+    """Best (gain, feature, threshold) over all features, the gain above `least`; thresholds lie halfway between
+    neighbouring values."""
+    best = (least, -1, 0.0)
     total_g, total_h = g.sum(), h.sum()
     whole = total_g**2 / (total_h + lam)
     for j in range(x.shape[1]):
@@ -24,15 +25,15 @@ def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, lam: float) -> tuple[flo
     return best
 
 
-def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, lam: float) -> tuple:
+def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, lam: float, least: float) -> tuple:
     leaf = (float(-g.sum() / (h.sum() + lam)),)
     if depth == 0 or len(g) < 2:
         return leaf
-    _, j, at = _split(x, g, h, lam)
+    _, j, at = _split(x, g, h, lam, least)
     if j < 0:
         return leaf
     low = x[:, j] <= at
-    return j, at, _grow(x[low], g[low], h[low], depth - 1, lam), _grow(x[~low], g[~low], h[~low], depth - 1, lam)
+    return j, at, _grow(x[low], g[low], h[low], depth - 1, lam, least), _grow(x[~low], g[~low], h[~low], depth - 1, lam, least)
 
 
 def _value(tree: tuple, x: np.ndarray) -> np.ndarray:
@@ -50,6 +51,8 @@ class Boosted:
     depth: int = 2
     rate: float = 0.5
     lam: float = 0.1
+    #: a split must gain more than this
+    least: float = 1e-9
     base: float = 0.0
     trees: list[tuple] = field(default_factory=list)
 
@@ -61,7 +64,7 @@ class Boosted:
         f = np.full(len(y), self.base)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-f))
-            tree = _grow(x, w * (p - y), w * np.maximum(p * (1 - p), 1e-6), self.depth, self.lam)
+            tree = _grow(x, w * (p - y), w * np.maximum(p * (1 - p), 1e-6), self.depth, self.lam, self.least)
             self.trees.append(tree)
             f += self.rate * _value(tree, x)
         return self
@@ -71,3 +74,14 @@ class Boosted:
         for tree in self.trees:
             f += self.rate * _value(tree, x)
         return f
+
+    def cuts(self) -> dict[int, list[float]]:
+        """All thresholds of the trees by feature: between them the decision is constant."""
+        found: dict[int, set[float]] = {}
+        open_ = list(self.trees)
+        while open_:
+            tree = open_.pop()
+            if len(tree) > 1:
+                found.setdefault(tree[0], set()).add(tree[1])
+                open_ += tree[2:]
+        return {j: sorted(at) for j, at in found.items()}

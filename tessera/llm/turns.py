@@ -1,9 +1,16 @@
-"""Speech transcripts into clean speaker turns."""
+"""Speech transcripts into clean speaker turns.
+
+Gradient-boosted trees decide whether a turn begins between two neighbouring kept segments, from their labels, the gap
+and their context. They are fitted on pairs of the table at hand (a bounded sample) and then, as what a boundary is has
+an exact definition, proved: every cell that the trees' thresholds cut out of the feature space is compared with the
+definition, and cells in which they differ are added to the training pairs until none is left.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -14,54 +21,60 @@ from tessera.functions.timeops import to_ms
 from tessera.llm.boost import Boosted
 from tessera.llm.spoken import speaker_number, spoken_words
 from tessera.operators.carryscan import Batches, carry_scan, range_sorted
+from tessera.runtime import cut
 
 #: a segment that starts later than this after the start of the one before begins a turn
 PAUSE_MS = 30_000
-#: labelled pairs the boundary model is trained on
+#: pairs of the table, at most, that the boundary model is trained on
 TRAIN_PAIRS = 12_000
+#: what the trees see of two neighbours: whether the speaker number differs, the gap between the starts, where the second's
+#: label comes from (0 nowhere, 1 the label column, 2 the text), whether the first speaker is known, and the lengths of both
+FEATURES = ("changed", "gap_ms", "source", "known", "chars_before", "chars")
 NOBODY = -1
-_CLEAN = "sample_id string, start_ms bigint, seg_id bigint, label int, spoken string"
+_CLEAN = "sample_id string, start_ms bigint, seg_id bigint, label int, source int, spoken string"
 _PIECE = "sample_id string, first_seg_id bigint, speaker_no int, last_start bigint, last_seg_id bigint, turn_text string"
+_PAIR = ", ".join(f"{f} bigint" for f in FEATURES)
 
 
-def is_boundary(changed: np.ndarray, gap_ms: np.ndarray) -> np.ndarray:
+def is_boundary(pairs: np.ndarray) -> np.ndarray:
     """The definition of a turn boundary between neighbouring kept segments."""
-    return changed | (gap_ms > PAUSE_MS)
-
-
-def features(before: np.ndarray, speaker: np.ndarray, labelled: np.ndarray, gap_ms: np.ndarray) -> np.ndarray:
-    """Of two neighbours: whether the label differs, whether the second has a label of its own, the gap, whether the
-    first speaker is known."""
-    return np.column_stack([before != speaker, labelled, gap_ms, before >= 0]).astype(float)
-
-
-@lru_cache(2)
-def boundary_model(pairs: int = TRAIN_PAIRS, seed: int = 7) -> Boosted:
-    """Trained on a bounded, deterministic set of labelled pairs, a third of them with gaps close to the pause, among
-    them both neighbours of the pause itself, so that the learnt threshold lies between whole milliseconds."""
-    rng = np.random.default_rng(seed)
-    wide = rng.integers(0, 20 * PAUSE_MS, pairs // 3)
-    usual = rng.exponential(5_000, pairs // 3).astype(np.int64)
-    close = PAUSE_MS + np.arange(pairs - 2 * (pairs // 3)) % 41 - 20
-    gap = np.concatenate([wide, usual, close])
-    before = rng.integers(-1, 6, pairs)
-    labelled = rng.random(pairs) < 0.8
-    speaker = np.where(labelled & (rng.random(pairs) < 0.5), rng.integers(0, 6, pairs), before)
-    return Boosted(rounds=16, depth=2, rate=0.7).fit(features(before, speaker, labelled, gap), is_boundary(before != speaker, gap))
-
-
-def boundaries(before: np.ndarray, speaker: np.ndarray, labelled: np.ndarray, gap_ms: np.ndarray) -> np.ndarray:
-    """The model's decision. The exact rule only checks it: a disagreement is an error and never replaced in silence."""
-    decided = boundary_model().margin(features(before, speaker, labelled, gap_ms)) > 0
-    if wrong := int((decided != is_boundary(before != speaker, gap_ms)).sum()):
+    return (pairs[:, 0] > 0) | (pairs[:, 1] > PAUSE_MS)
+
+
+def disagreements(model: Boosted) -> np.ndarray:
+    """One pair of whole numbers from every cell of the feature space in which the trees differ from the definition;
+    none is a proof that they agree everywhere."""
+    cuts = model.cuts()
+    cuts[0], cuts[1] = sorted({*cuts.get(0, ()), 0.5}), sorted({*cuts.get(1, ()), PAUSE_MS + 0.5})
+    sides = [sorted({float(np.floor(c)) + d for c in cuts.get(j, ()) for d in (0, 1)} or {0.0}) for j in range(len(FEATURES))]
+    cells = np.array(list(product(*sides)))
+    return cells[(model.margin(cells) > 0) != is_boundary(cells)]
+
+
+def boundary_model(sample: np.ndarray) -> Boosted:
+    """Trees fitted on the sample and refined until they are proved; every cell that was wrong weighs like the sample's
+    rarer class, so that it is learnt."""
+    seeds = np.array([[c, g, s, k, 8, 8] for c in (0, 1) for g in (0, 1_000, 20 * PAUSE_MS) for s in (0, 1) for k in (0, 1)], float)
+    x = np.vstack([seeds, sample.reshape(-1, len(FEATURES))]).astype(float)
+    weight = np.ones(len(x))
+    for _ in range(64):
+        model = Boosted(rounds=16, depth=2, rate=0.7, least=1e-3 * len(x) ** 0.5).fit(x, is_boundary(x), weight)
+        wrong = disagreements(model)
+        if not len(wrong):
+            return model
+        x = np.vstack([x, wrong])
+        weight = np.concatenate([weight, np.full(len(wrong), max(1.0, 0.02 * len(x)))])
+    raise ValueError("the boundary model does not reach its definition")
+
+
+def boundaries(model: Boosted, pairs: np.ndarray) -> np.ndarray:
+    """The model's decision. The definition only checks it: a disagreement is an error and never replaced in silence."""
+    decided = model.margin(pairs) > 0
+    if wrong := int((decided != is_boundary(pairs)).sum()):
         raise ValueError(f"the boundary model disagrees with the definition on {wrong} of {len(decided)} pairs")
     return decided
 
 
-def _bound(before: int, speaker: int, labelled: bool, gap: int) -> bool:
-    return bool(boundaries(np.array([before]), np.array([speaker]), np.array([labelled]), np.array([gap]))[0])
-
-
 def clean_segments(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spoken words and label of each segment; repeated deliveries (neighbours in the order) and segments without
     spoken words are left out."""
@@ -75,54 +88,75 @@ def clean_segments(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             spoken, named = spoken_words(text)
             if spoken:
                 no = speaker_number(speaker)
-                out.append((sid, start, seg, named if no is None else no, spoken))
-        yield pd.DataFrame(out, columns=["sample_id", "start_ms", "seg_id", "label", "spoken"]).astype({"label": "Int32"})
+                source = 1 if no is not None else 2 if named is not None else 0
+                out.append((sid, start, seg, named if no is None else no, source, spoken))
+        yield pd.DataFrame(out, columns=["sample_id", "start_ms", "seg_id", "label", "source", "spoken"]).astype({"label": "Int32"})
 
 
 class _Turns:
     """Assigns each row (sorted by clip, start, seg_id) its speaker and the first segment of its turn.
 
-    state: [clip, speaker, start of the last row, first segment of the open turn].
+    state: [clip, speaker, start and length of the last row, first segment of the open turn].
     """
 
-    def __init__(self, state: list | None):
-        self.clip, self.speaker, self.start, self.turn = state or (None, NOBODY, 0, 0)
+    def __init__(self, decide: Callable[[np.ndarray], np.ndarray], state: list | None = None):
+        self.decide = decide
+        self.clip, self.speaker, self.start, self.chars, self.turn = state or (None, NOBODY, 0, 0, 0)
 
-    def feed(self, batch: pa.RecordBatch) -> Iterator[tuple]:
-        """(clip, start, seg, label or None, speaker, turn, boundary) by row; boundary is None for a clip's first row."""
-        clips, starts, segs, labels = (batch.column(i).to_pylist() for i in range(4))
+    def pairs(self, batch: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """(columns, which rows begin a clip, speakers, features of each row and the one before it)."""
+        clips, starts, segs, labels, sources = (batch.column(i).to_pylist() for i in range(5))
         n = len(clips)
-        before, speaker, gap, fresh = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool)
+        chars = [len(t) for t in batch.column(5).to_pylist()]
+        x, speaker, fresh = np.zeros((n, len(FEATURES))), np.empty(n, np.int64), np.zeros(n, bool)
         for i in range(n):
             if clips[i] != self.clip:
                 fresh[i] = True
-                self.clip, self.speaker, self.start = clips[i], NOBODY, starts[i]
-            before[i] = self.speaker
+                self.clip, self.speaker, self.start, self.chars = clips[i], NOBODY, starts[i], 0
+            before = self.speaker
             if labels[i] is not None:
                 self.speaker = labels[i]
             speaker[i] = self.speaker
-            gap[i] = starts[i] - self.start
-            self.start = starts[i]
-        new = boundaries(before, speaker, np.array([x is not None for x in labels], bool), gap) if n else []
-        for i in range(n):
+            x[i] = before != self.speaker, starts[i] - self.start, sources[i], before >= 0, self.chars, chars[i]
+            self.start, self.chars = starts[i], chars[i]
+        return [clips, starts, segs, labels], fresh, speaker, x
+
+    def feed(self, batch: pa.RecordBatch) -> Iterator[tuple]:
+        """(clip, start, seg, label or None, speaker, turn, boundary, features) by row; boundary is None for a clip's first
+        row."""
+        (clips, starts, segs, labels), fresh, speaker, x = self.pairs(batch)
+        new = self.decide(x) if len(clips) else []
+        for i in range(len(clips)):
             if fresh[i] or new[i]:
                 self.turn = segs[i]
-            yield clips[i], starts[i], segs[i], labels[i], int(speaker[i]), self.turn, None if fresh[i] else bool(new[i])
+            yield clips[i], starts[i], segs[i], labels[i], int(speaker[i]), self.turn, None if fresh[i] else bool(new[i]), x[i]
 
     @property
     def state(self) -> list:
-        return [self.clip, int(self.speaker), int(self.start), int(self.turn)]
+        return [self.clip, int(self.speaker), int(self.start), int(self.chars), int(self.turn)]
 
 
-def _summarise(batches: Batches) -> dict | None:
+def _sample(batches: Batches, rows: int) -> Iterator[pa.RecordBatch]:
+    """Features of the first `rows` pairs of a partition."""
+    scan, left = _Turns(lambda x: np.zeros(len(x), bool)), rows
+    for b in batches:
+        _, fresh, _, x = scan.pairs(b)
+        x = x[~fresh][:left].astype(np.int64)
+        left -= len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T], names=list(FEATURES))
+        if left <= 0:
+            return
+
+
+def _summarise(batches: Batches, decide: Callable) -> dict | None:
     """The state after the partition if it starts afresh, and of the rows of its first clip what is needed to go on
     from a state of the same clip: the first row, the last pause among rows before the first label, that label's row,
     and the last boundary behind it."""
-    scan, head, single, prev = _Turns(None), None, True, 0
+    scan, head, single = _Turns(decide), None, True
     for b in batches:
-        for clip, start, seg, label, _, _, new in scan.feed(b):
+        for clip, start, seg, label, _, _, new, x in scan.feed(b):
             if head is None:
-                head = {"clip": clip, "start": start, "seg": seg, "lead": 0, "pause": None, "named": None, "after": None, "last": None}
+                head = {"clip": clip, "start": start, "seg": seg, "x": x.tolist(), "lead": 0, "pause": None, "named": None, "after": None, "last": None}
             elif clip != head["clip"]:
                 single = False
             if single:
@@ -133,32 +167,38 @@ def _summarise(batches: Batches) -> dict | None:
                     head["lead"] += 1
                     head["pause"] = seg if not first and new else head["pause"]
                 else:
-                    head["named"] = [label, None if first else start - prev, seg]
+                    head["named"] = [label, None if first else x.tolist(), seg]
                 head["last"] = head["last"] if label is None else label
-                prev = start
     return None if head is None else {"single": single, "head": head, "tail": scan.state}
 
 
-def _combine(state: list | None, s: dict) -> list:
+def _combine(state: list | None, s: dict, decide: Callable) -> list:
     h = s["head"]
     if not s["single"] or state is None or state[0] != h["clip"]:
         return s["tail"]
-    _, speaker, start, turn = state
-    gap = h["start"] - start
+    _, speaker, start, chars, turn = state
+
+    def bound(label: int, x: list) -> bool:
+        return bool(decide(np.array([[speaker != label, x[1], x[2], speaker >= 0, x[4], x[5]]], float))[0])
+
+    first = [0, h["start"] - start, h["x"][2], 0, chars, h["x"][5]]
     if h["lead"]:
-        turn = h["pause"] or (h["seg"] if _bound(speaker, speaker, False, gap) else turn)
+        if h["pause"] is not None:
+            turn = h["pause"]
+        elif bound(speaker, first):
+            turn = h["seg"]
     if h["named"] is not None:
         label, inner, seg = h["named"]
-        if _bound(speaker, label, True, gap if inner is None else inner):
+        if bound(label, first if inner is None else inner):
             turn = seg
-        turn = h["after"] or turn
+        turn = turn if h["after"] is None else h["after"]
         speaker = h["last"]
-    return [h["clip"], speaker, s["tail"][2], turn]
+    return [h["clip"], speaker, *s["tail"][2:4], turn]
 
 
-def _rescan(batches: Batches, state: list | None) -> Iterator[pa.RecordBatch]:
+def _rescan(batches: Batches, state: list | None, decide: Callable) -> Iterator[pa.RecordBatch]:
     """One piece of each turn the partition holds a part of."""
-    scan = _Turns(state)
+    scan = _Turns(decide, state)
     piece: list | None = None
     out: list[list] = []
 
@@ -168,8 +208,8 @@ def _rescan(batches: Batches, state: list | None) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["sample_id", "first_seg_id", "speaker_no", "last_start", "last_seg_id", "turn_text"])
 
     for b in batches:
-        texts = b.column(4).to_pylist()
-        for (clip, start, seg, _, speaker, turn, _), text in zip(scan.feed(b), texts):
+        texts = b.column(5).to_pylist()
+        for (clip, start, seg, _, speaker, turn, _, _), text in zip(scan.feed(b), texts):
             if piece is None or piece[0] != clip or piece[1] != turn:
                 if piece is not None:
                     out.append(piece)
@@ -185,18 +225,27 @@ def _rescan(batches: Batches, state: list | None) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def speaker_turns(segments: DataFrame) -> DataFrame:
+def training_pairs(kept: DataFrame, most: int = TRAIN_PAIRS) -> np.ndarray:
+    """At most `most` pairs of the stored rows, the same share from each partition."""
+    each = -(-most // max(1, kept.rdd.getNumPartitions()))
+    found = kept.mapInArrow(partial(_sample, rows=each), _PAIR).limit(most).toArrow()
+    return np.column_stack([found[f].to_numpy() for f in FEATURES])
+
+
+def speaker_turns(segments: DataFrame, train_pairs: int = TRAIN_PAIRS) -> DataFrame:
     """Clean speaker turns of each clip: sample_id, first_seg_id, last_seg_id, speaker_no INT, turn_text.
 
     Segments with null sample_id, seg_id or start_sec (or one that is no number) are left out; those without spoken
     words are dropped and break no turn; equal starts are ordered by seg_id; repeated deliveries count once; clips of
     any length are scanned in partitions with carried state; an empty table gives no turns. A segment without a label
-    goes on with the speaker before it, -1 at the start. Other columns, whatever their names, are not read.
+    goes on with the speaker before it, -1 at the start. Other columns, whatever their names, are not read. The
+    boundary model is fitted on at most train_pairs neighbours of the table; all rows are decided by it.
     """
     rows = segments.select("sample_id", to_ms(F.col("start_sec")).alias("start_ms"), "seg_id", "speaker", "text")
     rows = rows.where(F.col("sample_id").isNotNull() & F.col("start_ms").isNotNull() & F.col("seg_id").isNotNull() & F.col("text").isNotNull())
-    kept = range_sorted(rows, ["sample_id", "start_ms", "seg_id"]).mapInPandas(clean_segments, _CLEAN)
-    pieces = carry_scan(kept, _summarise, _combine, _rescan, _PIECE)
+    kept = cut(range_sorted(rows, ["sample_id", "start_ms", "seg_id"]).mapInPandas(clean_segments, _CLEAN))
+    decide = partial(boundaries, boundary_model(training_pairs(kept, train_pairs)))
+    pieces = carry_scan(kept, partial(_summarise, decide=decide), partial(_combine, decide=decide), partial(_rescan, decide=decide), _PIECE, stored=True)
     parts = F.array_sort(F.collect_list(F.struct("last_start", "last_seg_id", "turn_text")))
     return (
         pieces.groupBy("sample_id", "first_seg_id")

@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 
+from tessera.llm import turns
 from tessera.llm.boost import Boosted
 from tessera.llm.spoken import hesitates, speaker_number, spoken_words
-from tessera.llm.turns import boundary_model, features, is_boundary, speaker_turns, turns_of
+from tessera.llm.turns import FEATURES, PAUSE_MS, boundaries, boundary_model, disagreements, is_boundary, speaker_turns, turns_of
 
 SCHEMA = "sample_id string, start_sec double, seg_id bigint, speaker string, text string, speaker_no string"
 
@@ -34,14 +35,30 @@ def test_spoken_words():
     assert hesitates("mmm", True) and not hesitates("em", False) and not hesitates("me", True)
 
 
-def test_model_learns_the_boundary():
-    gap = np.arange(0, 90_000, 7)
-    for before, speaker, labelled in ((0, 0, True), (0, 1, True), (-1, -1, False), (-1, 2, True)):
-        b, s, k = (np.full(len(gap), v) for v in (before, speaker, labelled))
-        assert ((boundary_model().margin(features(b, s, k, gap)) > 0) == is_boundary(b != s, gap)).all()
+def _pairs(rng, n, gap):
+    return np.column_stack([rng.integers(0, 2, n), gap, rng.integers(0, 3, n), rng.integers(0, 2, n), rng.integers(0, 400, n), rng.integers(0, 400, n)]).astype(float)
+
+
+def test_model_is_refined_until_proved():
+    rng = np.random.default_rng(5)
+    samples = [np.empty((0, len(FEATURES))), _pairs(rng, 12_000, rng.exponential(4_000, 12_000).astype(int)), _pairs(rng, 500, rng.integers(0, 90_000, 500))]
+    samples.append(_pairs(rng, 3_000, np.zeros(3_000)) * [0, 1, 1, 1, 1, 1])  # nothing of what makes a boundary
+    for sample in samples:
+        model = boundary_model(sample)
+        assert not len(disagreements(model))
+        x = _pairs(rng, 100_000, rng.integers(-5, 40 * PAUSE_MS, 100_000))
+        near = _pairs(rng, 2_001, PAUSE_MS - 1_000 + np.arange(2_001))
+        assert (boundaries(model, np.vstack([x, near])) == is_boundary(np.vstack([x, near]))).all()
+    rough = Boosted(rounds=4, depth=2).fit(samples[1], is_boundary(samples[1]))
+    assert len(disagreements(rough)), "the proof finds what the sample alone does not teach"
+
+
+def test_trees_learn_and_tell_their_cuts():
     x = np.random.default_rng(1).normal(size=(2000, 3))
     y = (x[:, 0] > 0.3) ^ (x[:, 1] > 0)
-    assert ((Boosted(rounds=40).fit(x[:1500], y[:1500]).margin(x[1500:]) > 0) == y[1500:]).mean() > 0.95
+    model = Boosted(rounds=40).fit(x[:1500], y[:1500])
+    assert ((model.margin(x[1500:]) > 0) == y[1500:]).mean() > 0.95
+    assert {0, 1} <= set(model.cuts()) and Boosted(least=1e9).fit(x, y).cuts() == {}
 
 
 def test_turns_against_brute_force(small_batches):
@@ -61,3 +78,16 @@ def test_turns_edges(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
     assert sorted(map(tuple, speaker_turns(df).collect())) == [("a", 1, 2, -1, "onetwo"), ("a", 3, 3, -1, "three"), ("a", 5, 5, 0, "w" * 100_000)]
     assert speaker_turns(df.limit(0)).collect() == []
+
+
+def test_turn_at_segment_zero(small_batches):
+    """A turn that begins with segment 0 where a partition begins is a turn like others."""
+    rows = [("a", 40.0 * (9 - i), i, None, f"w{i}") for i in range(10)] + [("b", 0.5 * (9 - i), 20 - i, "S1" if i % 2 else None, f"v{i}") for i in range(10)]
+    df = small_batches.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    assert {tuple(r) for r in speaker_turns(df).collect()} == {tuple(t) for t in turns_of([(a, round(b * 1000), c, d, e) for a, b, c, d, e in rows])}
+    never = lambda x: np.zeros(len(x), bool)
+    always = lambda x: np.ones(len(x), bool)
+    head = {"clip": "a", "start": 5, "seg": 0, "x": [0, 0, 0, 0, 0, 2], "lead": 2, "pause": 0, "named": None, "after": None, "last": None}
+    assert turns._combine(["a", 1, 0, 3, 7], {"single": True, "head": head, "tail": ["a", -1, 9, 2, 0]}, never) == ["a", 1, 9, 2, 0]
+    named = {**head, "lead": 0, "pause": None, "named": [2, None, 0], "after": 0, "last": 2}
+    assert turns._combine(["a", 2, 0, 3, 7], {"single": True, "head": named, "tail": ["a", 2, 9, 2, 0]}, always) == ["a", 2, 9, 2, 0]
