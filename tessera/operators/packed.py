@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.runtime import cut
 
@@ -14,12 +14,16 @@ PLAIN = r"/:._\-%?=&"
 _ORDINARY = rf"[\p{{L}}\p{{M}}\p{{N}}{PLAIN}]+"
 #: characters that can open, close or escape; all others only divide
 _MARKS = "\"'“”‘’\\\\\\[\\]"
-_TOKEN = rf"({_ORDINARY}|[{_MARKS}]|[^\p{{L}}\p{{M}}\p{{N}}{PLAIN}{_MARKS}]+)"
-#: rules of more text than this are not broadcast; the rows then resolve their own skeletons
+#: where one token ends and the next begins: around every mark; a backslash before what is no mark is part of a run
+_SIGNS = _MARKS.replace("\\\\", "", 1)
+_EDGE = rf"(?=[{_SIGNS}]|\\(?:[{_MARKS}]|\z))|(?<=[{_SIGNS}])|(?<=\\)(?=\\)"
+#: symbols of runs: by whether they begin and end with an ordinary character; a comma has none at all
+_STARTS, _ENDS, _RUNS = "xb", "xc", "xbcd,"
+#: rules of more text than this are not broadcast but joined by the skeleton
 MAX_RULE_CHARS = 4_000_000
 
 _CLOSE = {'"': '"', "'": "'", "“": "”", "‘": "’"}
-RAW, ESCAPED, DOUBLED, TWICE, CSV_JSON, CURLY = range(6)
+RAW, ESCAPED, DOUBLED, TWICE, CSV_JSON, CURLY, RAW_LISTED = range(7)
 _RULE = "array<struct<f:int,t:int,m:int>>"
 
 
@@ -36,18 +40,19 @@ def _list_items(sym: list[tuple[str, int, int]], mode: int) -> list[tuple[int, i
                 return None
             out.append((sym[i][2], sym[j][1], mode))
             i = j + 1
-        elif c == "\\":  # an escaped line break between items of a list inside a string
-            i += 2
+        elif c == "\\":  # it escapes a mark; what it escapes in a run, as a line break, is part of the run
+            i += 1 if sym[i + 1 : i + 2] and sym[i + 1][0] in _RUNS else 2
         else:
-            if c == "x":
-                out.append((sym[i][1], sym[i][2], RAW))
+            if c in "xbcd":
+                out.append((sym[i][1], sym[i][2], RAW_LISTED))
             i += 1
     return out
 
 
 def resolve(skeleton: str) -> list[tuple[int, int, int]]:
-    """Token ranges (from, to, mode) of the values of one skeleton, a string of one symbol a token: x for a run of
-    ordinary characters, a comma for a run of dividers, quotes, backslashes and square brackets as themselves."""
+    """Token ranges (from, to, mode) of the values of one skeleton, a string of one symbol a token: x, b, c or d for a
+    run with ordinary characters, a comma for a run of dividers, quotes, backslashes and square brackets as themselves.
+    A range of a raw mode is one run, which holds one value or, divided, several."""
     n = len(skeleton)
     lo, hi = n - len(skeleton.lstrip(",")), len(skeleton.rstrip(","))
     body = skeleton[lo:hi]
@@ -79,16 +84,16 @@ def resolve(skeleton: str) -> list[tuple[int, int, int]]:
     out, i = [], 0
     while i < len(body):
         c = body[i]
-        if c == "x":
+        if c in "xbcd":
             out.append((lo + i, lo + i + 1, RAW))
-        elif c in _CLOSE and (i == 0 or body[i - 1] != "x"):
+        elif c in _CLOSE and (i == 0 or body[i - 1] not in _ENDS):
             j, q = i + 1, _CLOSE[c]
             while j < len(body):
                 if body[j] == "\\" and c in "\"'":
                     j += 2
                 elif body[j] == q and c == '"' and body[j + 1 : j + 2] == '"':
                     j += 2
-                elif body[j] == q and (c != "'" or body[j + 1 : j + 2] != "x"):
+                elif body[j] == q and (c != "'" or j + 1 == len(body) or body[j + 1] not in _STARTS):
                     break
                 else:
                     j += 1
@@ -100,13 +105,19 @@ def resolve(skeleton: str) -> list[tuple[int, int, int]]:
 
 
 def tokens(cell: Column) -> Column:
-    return F.regexp_extract_all(cell, F.lit(_TOKEN), F.lit(1))
+    return F.split(cell, _EDGE, -1)
 
 
 def skeleton(cell: Column) -> Column:
-    """One symbol a token; ordinary characters are masked."""
-    masked = F.regexp_replace(cell, "[^\\p{L}\\p{M}\\p{N}" + PLAIN + _MARKS + "]+", ",")
-    return F.regexp_replace(masked, _ORDINARY, "x")
+    """One symbol a token: ordinary characters are masked, and so is how many values and escapes a run holds, so that
+    skeletons tell quotes, escapes of quotes and brackets only."""
+    out = F.regexp_replace(cell, _ORDINARY, "x")
+    out = F.regexp_replace(out, f"[^x{_MARKS}]+", ",")
+    out = F.regexp_replace(out, r"\\(?=[x,])", "e")
+    edge, end = "(?<![x,e])", "(?![x,e])"
+    for run, symbol in (("x(?:[x,e]*x)?", "x"), ("x[x,e]*[,e]", "b"), ("[,e][x,e]*x", "c"), ("[,e][x,e]*x[x,e]*[,e]", "d"), ("[,e]+", ",")):
+        out = F.regexp_replace(out, f"{edge}{run}{end}", symbol)
+    return out
 
 
 def _rules(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +134,8 @@ def _unjson(v: Column) -> Column:
     return F.when(F.instr(v, "\\") == 0, v).otherwise(F.coalesce(done, v))
 
 
-def _value(r: Column) -> Column:
+def _values(r: Column) -> Column:
+    """The values of one range of tokens: those of a raw run, or the one that was quoted."""
     # an empty quoted value has f = t
     raw = F.when(r["t"] > r["f"], F.array_join(F.slice(F.col("_tokens"), r["f"] + 1, r["t"] - r["f"]), "")).otherwise(F.lit(""))
     csv = F.regexp_replace(F.regexp_replace(raw, '""', '"'), r"\\(['\"])", "$1")
@@ -135,7 +147,9 @@ def _value(r: Column) -> Column:
         .otherwise(raw)
     )
     value = F.regexp_replace(value, r"^[\s\p{Z}\x{feff}\x{200b}]+|[\s\p{Z}\x{feff}\x{200b}]+$", "")
-    return F.when((r["m"] == RAW) & F.lower(value).isin("null", "none"), F.lit("")).otherwise(value)
+    bare = F.when(r["m"] == RAW_LISTED, F.regexp_replace(raw, rf"\\{_ORDINARY}", " ")).otherwise(raw)
+    found = F.filter(F.regexp_extract_all(bare, F.lit(f"({_ORDINARY})"), F.lit(1)), lambda v: ~F.lower(v).isin("null", "none"))
+    return F.when(r["m"].isin(RAW, RAW_LISTED), found).otherwise(F.array(value))
 
 
 def split_packed(df: DataFrame, key: str, cell: str, max_rule_chars: int = MAX_RULE_CHARS) -> DataFrame:
@@ -146,8 +160,8 @@ def split_packed(df: DataFrame, key: str, cell: str, max_rule_chars: int = MAX_R
     divides. Rows repeated with equal key and cell count once. Very long cells are only longer token arrays. Other
     columns of df, whatever their names, are not read. An empty table gives no rows.
 
-    The splitting rules, one a distinct skeleton, are broadcast while their text is within max_rule_chars; beyond it
-    every row resolves its own skeleton and nothing is broadcast.
+    The splitting rules, one a distinct skeleton, are broadcast while their text is within max_rule_chars, and joined
+    by the skeleton beyond it (a skeleton of very many rows is split by the join's own skew handling).
     """
     rows = df.where(F.col(cell).rlike(r"[\p{L}\p{M}\p{N}" + PLAIN + r"]")).select(F.col(key).alias("_key"), F.col(cell).alias("_cell")).distinct()
     shaped = rows.select("_key", tokens(F.col("_cell")).alias("_tokens"), skeleton(F.col("_cell")).alias("_skeleton"))
@@ -155,12 +169,8 @@ def split_packed(df: DataFrame, key: str, cell: str, max_rule_chars: int = MAX_R
     shapes = df.where(F.col(cell).rlike(r"[\p{L}\p{M}\p{N}" + PLAIN + r"]")).select(skeleton(F.col(cell)).alias("_skeleton")).distinct()
     rules = cut(shapes.mapInPandas(_rules, f"_skeleton string, _rule {_RULE}"))
     size = rules.agg(F.sum(F.length("_skeleton") + 12 * F.size("_rule"))).first()[0] or 0
-    if size <= max_rule_chars:
-        ruled = shaped.join(F.broadcast(rules), "_skeleton")
-    else:
-        rule_of = F.pandas_udf(lambda s: pd.Series([[{"f": f, "t": t, "m": m} for f, t, m in resolve(x)] for x in s]), T._parse_datatype_string(_RULE))
-        ruled = shaped.withColumn("_rule", rule_of("_skeleton"))
-    values = F.filter(F.transform(F.col("_rule"), _value), lambda v: v != "")
+    ruled = shaped.join(F.broadcast(rules) if size <= max_rule_chars else rules.hint("merge"), "_skeleton")
+    values = F.filter(F.flatten(F.transform(F.col("_rule"), _values)), lambda v: v != "")
     return ruled.select(F.col("_key").alias(key), F.posexplode(values).alias("_pos", "ref_value")).select(
         key, (F.col("_pos") + 1).cast("int").alias("pos"), "ref_value"
     )

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from tessera.operators.packed import resolve, split_packed
+from tessera.operators.packed import resolve, skeleton, split_packed
 
 CASES = {
     "/a/b.png": ["/a/b.png"],
@@ -49,3 +49,10 @@ def test_long_and_empty(spark):
 
 def test_rule_positions():
     assert resolve('["x","x"]') == [(2, 3, 1), (6, 7, 1)]
+
+
+def test_skeletons_follow_the_quoting_only(spark):
+    """How many values, dividers and escapes a run holds changes no skeleton."""
+    cells = ['["a, b.png","c"]', '["a","c; d, e"]', '["\\u706f\\u7b3c.png","c"]', '["a","b.png"]']
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    assert {r[0] for r in df.select(skeleton(df.c)).collect()} == {'["x","x"]'}
