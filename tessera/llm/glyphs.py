@@ -84,8 +84,8 @@ class Transducer:
                 self.table[c] = out
         self.check()
         ext = _ranges([*marks, *(c for c, v in self.table.items() if v == "")])
-        self.marks = re.compile(rf"[{ext}\r]|[ᄀ-ᄒ][ᅡ-ᅵ]")
-        self.single = re.compile(rf"[{_ranges(list(self.table))}]")
+        #: characters with which a cluster can be longer than one character
+        self.joining = frozenset([*marks, *(c for c, v in self.table.items() if v == ""), "\r", *map(chr, range(0x1100, 0x1113))])
         self.pattern = re.compile(rf"\r\n|[ᄀ-ᄒ][ᅡ-ᅵ][ᆨ-ᇂ]?|[^{ext}]?[{ext}]+|[{_ranges(list(self.table))}]")
         self.cluster = lru_cache(1 << 16)(self._cluster)
 
@@ -103,8 +103,11 @@ class Transducer:
         if text.isascii() and "\r" not in text and "\t" not in text and "\v" not in text and "\f" not in text:
             return text
         table, cluster = self.table, self.cluster
-        if not self.marks.search(text):  # every cluster is one character
-            return self.single.sub(lambda m: table[m[0]], text)
+        used = set(text)
+        if used.isdisjoint(self.joining):  # every cluster is one character, and no output is rewritten again
+            for c in used & table.keys():
+                text = text.replace(c, table[c])
+            return text
 
         def put(m: re.Match) -> str:
             s = m[0]
