@@ -38,6 +38,14 @@ def invisible(c: str) -> bool:
     return o in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= o <= 0x180F or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF
 
 
+_MAY_CHANGE = frozenset(("Cf", "Cc", "Zs", "Zl", "Zp", "Mn", "Mc", "Me"))
+
+
+def _may_change(c: str) -> bool:
+    """False for letters that are sure to stay: nothing to decompose, visible and no look-alike."""
+    return U.category(c) in _MAY_CHANGE or U.decomposition(c) != "" or c in LOOKALIKES or c in "\u115f\u1160"
+
+
 def _plain(c: str) -> str:
     """The normal form of one character, still in its own alphabet."""
     if invisible(c):
@@ -76,7 +84,7 @@ class Transducer:
         self.table, marks = {}, []
         ascii_part = (chr(o) for o in (9, 11, 12, 13))
         every = [*ascii_part, *(chr(o) for r in _RANGES for o in r if not 0xD800 <= o <= 0xDFFF)]
-        for c in every:
+        for c in filter(_may_change, every):
             if U.combining(c) or c in "ﾞﾟ":
                 marks.append(c)
             out = self.one(c)

@@ -71,10 +71,11 @@ _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t
 _LEET_WORD = re.compile(r"(?<![\w@$])(?=[a-z0-9@$!|+]*[a-z])(?=[a-z0-9@$!|+]*[0-9@$!|+])[a-z0-9@$]+(?:[!|+]+[a-z0-9@$]+)*(?![\w@$])")
 _LEET_PAIR = re.compile(r"[0-9@$!|+][a-z]|[a-z][0-9@$!|+]|@\$")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?: {2,}(?:[^\W\d_] )+[^\W\d_])*(?![^\W_])")
-_INNER = re.compile(r"(?<=[^\W\d_])[_.\-*·•~^]+(?=[^\W\d_])")
+_INNER = re.compile(r"[_.\-*·•~^]+(?=[^\W\d_])")
 _STARRED = re.compile(r"(?<![^\W_])([a-z])\*{2,}([a-z]?)(?![^\W_])")
 _ONE_MASK = re.compile(r"(?<![^\W_])[a-z]+[*#%][a-z]+(?![^\W_])")
 _HAN = "一-鿿぀-ヿ"
+_HAN_RUN = re.compile("[\u2e80-\u2fff\u3040-\u9fff\uac00-\ud7a3\uf900-\ufaff]+")
 _HAN_GAP = re.compile(rf"(?<=[{_HAN}]){_JOIN}+(?=[{_HAN}])")
 _SWEARS = "fuck, fucking, fucked, cock, dick, pussy, rape, kill, penis, vagina, tits, cum, nazi"
 
@@ -117,8 +118,9 @@ def _banged(m: re.Match) -> str:
 
 
 def undisguised(plain: str) -> str:
-    """Lower-case text with disguised Latin words rewritten and every letter run written once."""
-    t = plain
+    """Lower-case text with disguised Latin words rewritten and every letter run written once; a run of Han, kana or
+    Hangul, about which the patterns of alphabets say nothing, is one letter."""
+    t = plain if plain.isascii() else _HAN_RUN.sub("一", plain)
     if "*" in t or "#" in t or "%" in t:
         t = _STARRED.sub(lambda m: f"{m[1]}xqx{m[2]}", _ONE_MASK.sub(_unmask, t))
     # letters apart: two words in a row of one letter each
@@ -126,13 +128,14 @@ def undisguised(plain: str) -> str:
         t = _SPACED.sub(_close_up, t)
     if _LEET_PAIR.search(t):
         t = _LEET_WORD.sub(lambda m: m[0].translate(_LEET), t)
-    t = squeeze(_INNER.sub("", t))
+    # separators between two letters; the letter before is looked at only where there are any
+    t = squeeze(_INNER.sub(lambda m: "" if m.start() and m.string[m.start() - 1].isalpha() else m[0], t))
     return re.sub(r"[ \t]+", " ", t) if "  " in t or "\t" in t else t
 
 
 def closed_up(plain: str) -> str:
-    """Gaps between Han letters closed."""
-    return _HAN_GAP.sub("", plain)
+    """Gaps between Han letters closed; nothing is left of a text without any."""
+    return "" if plain.isascii() else _HAN_GAP.sub("", plain)
 
 
 def _any(words: list[str]) -> str:
@@ -187,7 +190,7 @@ class Rule:
     tag: str
     weight: float
     pattern: str
-    #: folded (undisguised Latin, letter runs written once) or han (gaps between Han letters closed)
+    #: folded (undisguised alphabets, letter runs written once) or han (Han and kana, gaps between them closed)
     view: str = "folded"
     #: False for a tag that never carries a clause without another one's or a masked word
     carries: bool = True
@@ -199,9 +202,12 @@ class Rule:
     @property
     def source(self) -> str:
         """The pattern; for the folded view its letter runs too are written once (escapes stay)."""
-        if self.view != "folded":
-            return self.pattern
-        return "".join(p if p.startswith("\\") else squeeze(p) for p in re.split(r"(\\.)", self.pattern))
+        return _squeezed(self.pattern) if self.view == "folded" else self.pattern
+
+
+@lru_cache(None)
+def _squeezed(pattern: str) -> str:
+    return "".join(p if p.startswith("\\") else squeeze(p) for p in re.split(r"(\\.)", pattern))
 
 
 @lru_cache(None)
@@ -257,21 +263,24 @@ RULES: tuple[Rule, ...] = (
     Rule("person", 0.5, rf"{_B}(?:{_SPOKEN_TO}|him|her|them|each of you|your){_E}", carries=False),
     _zh("harm", 1.0, r"(?:你|你们|像你|这种人|剪这段|写这句|做这个|家伙|全家)[^。!?！？\n]{0,16}(?:去死|死光|断气|打断|拖出去|烂在|跳下去|放屁|恶心死|不得好死|不配活|浪费空气|揍死|挨揍|砍死|弄死|杀了|挨打|别回来|后悔了|下地狱|见鬼去|抽死|打死|该死$|都该死|枪毙)"),
     _zh("harm", 1.0, r"看见你[^。\n]{0,10}(?:想吐|恶心)|滚回你|(?:打断|砍断|剁了)[^。\n]{0,6}(?:手|腿|脖子)|把你的(?:手|腿|头|嘴)[^。\n]{0,4}(?:打断|砍|剁|撕)|你怎么不(?:去死|跳)|真?希望你[^。\n]{0,12}(?:别回来|死|出事)|祝你[^。\n]{0,6}(?:死|完蛋|断子)|劝你[^。\n]{0,10}(?:跳|死)|迟早被人|(?:弄|打|掐|砍)死你|宰了你|杀了?你|强奸你|杀了你全家|生你的时候|揍你"),
-    Rule("harm", 1.0, rf"{_B}(?:tu ferais mieux de crever|crève|ojalá (?:no despiertes|te mueras|revientes)|muérete|te voy a matar|je vais te tuer|ich bring dich um|du sollst verrecken|verrecke){_E}|сдохни|чтоб ты сдох|убью тебя|лучше бы ты (?:сдох|умер)|死ねばいい|殺してやる|ぶっ殺"),
+    Rule("harm", 1.0, rf"{_B}(?:tu ferais mieux de crever|crève|ojalá (?:no despiertes|te mueras|revientes)|muérete|te voy a matar|je vais te tuer|ich bring dich um|du sollst verrecken|verrecke){_E}|сдохни|чтоб ты сдох|убью тебя|лучше бы ты (?:сдох|умер)"),
+    _zh("harm", 1.0, r"死ねばいい|殺してやる|ぶっ殺"),
     # dehumanising groups
     Rule("dehumanise", 1.0, rf"{_B}{_MANY} [^.!?\n]{{2,40}}?{_B}(?:are|is) (?:all |nothing but |just )?(?:vermin|filth|animals|parasites|cockroaches|rats|subhuman|savages|scum|a disease|a plague|thie(?:f|ves) by blood|a thief by blood|born (?:liars|thieves|criminals)){_E}"),
     Rule("dehumanise", 1.0, rf"{_B}(?:all|every|those|these|most) (?:the |of the |of them |these |those )?(?:fucking |damn |dirty )?(?:{_GROUP}|{_PEOPLE}) (?:are|is) (?:all |nothing but |just |such |a bunch of |fucking )*(?:{_INS}|{_BASE}{_E})"),
     Rule("dehumanise", 1.0, rf"{_B}(?:kill|exterminate|gas|deport|hang|shoot|lynch|burn|wipe out|get rid of|eradicate|cleanse us of|castrate|sterili[sz]e) (?:(?:all|every|the|those|these|of|fucking|damn|dirty|last) )+{_GROUP}{_E}"),
     Rule("dehumanise", 1.0, rf"{_B}(?:are|is) (?:vermin|subhuman|born (?:liars|thieves|criminals)|a thief by blood|thieves by blood)|{_B}should (?:all )?be (?:sterili[sz]ed|thrown out|exterminated|wiped out|deported|gassed|caged)|{_B}carry diseases?{_E}[^.\n]{{0,30}}burn|{_B}bre(?:d|ed) like (?:rats|rabbits|vermin)|{_B}in cages{_E}|{_B}in (?:the kitchen or in )?chains{_E}|{_B}left alive{_E}|{_B}smell like animals|{_B}ha(?:ve|s) (?:a )?smaller brains?|{_B}do(?:es)? not deserve to be treated as humans?|{_B}ruin every (?:street|town|place)|{_B}are not (?:really )?human|{_B}away from our children, they are|{_B}never hire one{_E}|{_B}go back to (?:your|their) (?:country|cave|jungle|village)|{_B}belong in (?:the kitchen|a zoo|cages|camps|the gas)"),
     _zh("dehumanise", 1.0, r"都是(?:害虫|寄生虫|老鼠|蟑螂|畜生|垃圾|小偷|骗子|罪犯|婊子|贱人|贱货|强盗)|全部?赶出去|跟(?:牲口|畜生|猪狗)没(?:两样|区别)|不配当人|不配做人|断子绝孙|关进笼子|要是没有[^。\n]{1,14}(?:干净|太平|清净)|走到哪脏到哪|低人一等|天生就是(?:小偷|骗子|贼|坏种)|骨子里(?:脏|坏)|身上都带病|脑子天生|生下来就(?:低|贱|坏)|别录用|滚回(?:老家|你们)|全部?杀光|杀光(?:所有|那些|这些|他们)|灭绝|(?:所有|那些|这些)[^。\n]{1,8}(?:都该死|都去死|死光)"),
-    Rule("dehumanise", 1.0, rf"{_B}son (?:unas |unos |todos |todas )?(?:ratas|cucarachas|escoria|parásitos|basura){_E}|{_B}que se larguen|{_B}sont (?:de la |des |tous des )?(?:vermine|cafards|rats|parasites|ordures){_E}|(?:—|это|все)\s*(?:паразиты|крысы|мусор|твари|скот)|гнать их вон|(?:全員|みんな)(?:害虫|ゴミ|クズ|寄生虫)|人は害虫"),
+    Rule("dehumanise", 1.0, rf"{_B}son (?:unas |unos |todos |todas )?(?:ratas|cucarachas|escoria|parásitos|basura){_E}|{_B}que se larguen|{_B}sont (?:de la |des |tous des )?(?:vermine|cafards|rats|parasites|ordures){_E}|(?:—|это|все)\s*(?:паразиты|крысы|мусор|твари|скот)|гнать их вон"),
+    _zh("dehumanise", 1.0, r"(?:全員|みんな)(?:害虫|ゴミ|クズ|寄生虫)|人は害虫"),
     # explicit
     Rule("explicit", 1.0, rf"{_B}masturbat|{_B}fondl[a-z]+ (?:and|her|him|his)|{_B}(?:have|has|having|had) (?:rough |oral |anal |wild )?(?:sex|intercourse){_E}(?! (?:education|ed|appeal|work|scenes?|talk))|{_B}(?:oral|anal) sex{_E}|{_B}boner{_E}|{_B}panties{_E}|{_B}begs? for more|{_B}porn(?!hub\.com is blocked)|{_B}send (?:me )?(?:your )?nudes{_E}|{_B}nudes of{_E}|{_B}legs spread|{_B}spread (?:her|his|their|your) legs|{_B}blow ?job|{_B}hand ?job|{_B}orgasm|{_B}cum(?:s|ming|shot)?{_E}(?! laude)|{_B}jerk(?:s|ing)? off|{_B}gang ?bang|{_B}dildo|{_B}deep ?throat(?:s|ed|ing)?{_E}"),
     Rule("explicit", 1.0, rf"{_B}her tits{_E}|{_B}show (?:me )?(?:more of )?(?:her|your) (?:bare )?(?:tits|breasts|ass|pussy)|{_B}touch(?:es|ing)? (?:herself|himself)|{_B}lick(?:s|ing)? (?:every part|her|his|my) (?:pussy|cock|dick|ass|clit|nipples|neck down|body|thigh)|{_B}lick every part|{_B}rough and from behind|{_B}camera between the thighs|{_B}rides? (?:him|her) hard|{_B}moaning loudly|{_B}{_FUCK}(?:s|ed|ing)? (?:her|him|hard|me){_E}|{_B}pussy{_E}(?![ -](?:willow|cat|foot))|{_B}bare breasts|{_B}suck(?:s|ed|ing)? (?:his|my|your) (?:cock|dick)|{_B}(?:hard|wet|throbbing) (?:cock|dick|pussy){_E}|{_B}rap(?:e|es|ed|ing) (?:her|him|you|the (?:girl|woman|boy|man)){_E}|{_B}both of them climax"),
     Rule("nude", 0.5, rf"{_B}naked{_E}(?! eye)|{_B}stripped bare{_E}|{_B}strips? naked{_E}|{_B}topless{_E}|{_B}undress(?:es|ed)?{_E}|{_B}fully (?:exposed|explicit|nude){_E}|{_B}nothing covered{_E}|{_B}no blanket{_E}"),
     Rule("nude", 0.5, rf"{_B}(?:sucks?|fondles?|moans?|gasps? with pleasure|thrusts?|climax(?:es|ed)?){_E}(?! of the| arrives| comes| is )|{_B}from behind{_E}|{_B}between (?:her|his|the) thighs{_E}|{_B}on the sofa{_E}.*{_B}moan"),
     _zh("explicit", 1.0, r"自慰|手淫|做爱|口交|肛交|性交|呻吟|爱抚|射了|射精|从后面再来|腿张开|张开(?:双)?腿|裸照|全裸|黄片|色情片|a片|乳房|奶子|下体|阴(?:道|茎|部)|(?:达到|到了|一起|同时|来了)高潮|高潮了|都硬了|露(?:点|出)胸|多露|脱光|脱得精光|舔(?:她|他|遍)|骑在(?:他|她)身上|做愛|強姦|强奸|轮奸|肉棒|内射|裸聊|约炮|打飞机|骚逼|操(?:她|他|我)"),
-    Rule("explicit", 1.0, rf"{_B}follan?{_E}|{_B}follar{_E}|{_B}se masturban?{_E}|{_B}baisent nus|{_B}baiser nus|{_B}se masturbent?{_E}|занима[а-я]+ сексом|мастурбир|трахаю?т|セックス|オナニー|喘(?:ぐ|ぎ)|フェラ|中出し"),
+    Rule("explicit", 1.0, rf"{_B}follan?{_E}|{_B}follar{_E}|{_B}se masturban?{_E}|{_B}baisent nus|{_B}baiser nus|{_B}se masturbent?{_E}|занима[а-я]+ сексом|мастурбир|трахаю?т"),
+    _zh("explicit", 1.0, r"セックス|オナニー|喘(?:ぐ|ぎ)|フェラ|中出し"),
     # quoted and reported wording counts as wording: it makes an insult an address to somebody
     Rule("reported", 0.3, rf"{_B}(?:yelled|shouted|said|wrote|whispers?|screamed|writes){_E}", carries=False),
     _zh("reported", 0.3, r"[说骂喊写叫][道:]?[:,]?[“\"]|反馈原文", False),
@@ -328,7 +337,7 @@ def _finite(items) -> set[str] | None:
 
 
 def _rarity(found: set[str]) -> float:
-    return min((sum(3.0 if c > "\u2e80" else 1.0 for w in re.split(r"[\s:,\"“'‘]+", s) if w not in _COMMON for c in w) for s in found), default=0.0)
+    return min((sum(1.5 if c > "\u2e80" else 1.0 for w in re.split(r"[\s:,\"“'‘]+", s) if w not in _COMMON for c in w) for s in found), default=0.0)
 
 
 def _needed(items) -> set[str] | None:
@@ -394,21 +403,45 @@ def _ban_end(text: str, end: int) -> int:
     return len(text)
 
 
+class _Literals:
+    """Whether a text holds one of many literals, for alphabets of thousands of letters: each literal is looked for only
+    if the text has its letter that is none of the most usual ones and that the fewest literals have."""
+
+    # Fixed value: the most usual Han letters, digits and marks.
+    USUAL = frozenset("的一是不了人我在有他这中大来上个们到说时要就出会可也你对生能而子那得于着下自之年过后作里用道行所然家种事成方多经么去法学如都同现当没动面起看定天分还进好小部其些主样理心她本前开但因只从想实日")
+
+
+    def __init__(self, literals: set[str]):
+        common: dict[str, int] = {}
+        for a in literals:
+            for c in set(a):
+                common[c] = common.get(c, 0) + 1
+        self.by: dict[str, list[str]] = {}
+        for a in literals:
+            self.by.setdefault(min(a, key=lambda c: (c in self.USUAL or not c.isalpha(), common[c], c)), []).append(a)
+
+    def __call__(self, text: str) -> bool:
+        return any(a in text for c in self.by.keys() & set(text) for a in self.by[c])
+
+
 class Grammar:
     """The composed transducers; `score(text)` is the weight of the heaviest clause."""
 
-    VIEWS = ("folded", "han")
+    VIEW_OF = {"folded": undisguised, "han": closed_up}
+    VIEWS = tuple(VIEW_OF)
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         self.index = {v: self._automaton([i for i, r in enumerate(rules) if r.view == v]) for v in self.VIEWS}
         carry = {v: [i for i, r in enumerate(rules) if r.view == v and r.weight > 0 and r.carries] for v in self.VIEWS}
-        self.trigger = {"folded": self._automaton(carry["folded"]), "han": self._automaton(carry["han"], _han_closed(_HAN_CLEAR))}
+        folded = self._automaton(carry["folded"])
+        han = _Literals({a for i in carry["han"] for a in needed(rules[i].source)}.union(_han_closed(_HAN_CLEAR)))
+        self.trigger = {"folded": lambda t: next(folded.iter(t), None) is not None, "han": han}
 
-    def _automaton(self, chosen, more=()):
+    def _automaton(self, chosen):
         import ahocorasick
 
-        by: dict[str, set[int]] = {a: set() for a in more}
+        by: dict[str, set[int]] = {}
         for i in chosen:
             for a in needed(self.rules[i].source):
                 by.setdefault(a, set()).add(i)
@@ -419,10 +452,14 @@ class Grammar:
         return found
 
     def views(self, text: str) -> dict[str, str]:
-        return {"folded": undisguised(text), "han": closed_up(text)}
+        return {v: f(text) for v, f in self.VIEW_OF.items()}
+
+    def active(self, text: str, views: dict[str, str]) -> list[str]:
+        """The views in which something can carry a clause."""
+        return [v for v, t in views.items() if self.trigger[v](t) or v == "han" and _MASKED_HAN.search(text)]
 
     def triggered(self, text: str, views: dict[str, str]) -> bool:
-        return any(next(self.trigger[v].iter(t), None) is not None for v, t in views.items()) or _MASKED_HAN.search(text) is not None
+        return bool(self.active(text, views))
 
     def clauses(self, plain: str) -> list[str]:
         return [c for c in _SPLIT.split(plain) if c and c.strip()]
@@ -435,8 +472,12 @@ class Grammar:
                 found |= ids
         return [self.rules[i] for i in sorted(found)]
 
-    def tags(self, clause: str) -> list[tuple[str, float, str]]:
-        """Weighted tags of one clause."""
+    def tags(self, clause: str, active: list[str] | None = None) -> list[tuple[str, float, str]]:
+        """Weighted tags of one clause; `active` are the views in which its text can hold what carries."""
+        if active is not None and len(active) == 1:
+            view = active[0]
+            if not self.triggered(clause, {view: self.VIEW_OF[view](clause)}):
+                return []
         views = self.views(clause)
         if not self.triggered(clause, views):
             return []
@@ -488,7 +529,7 @@ class Grammar:
         return round(max(insult, harm, w.get("dehumanise", 0.0), w.get("slur", 0.0), sexual), 6)
 
     def plain(self, text: str) -> str:
-        return own_alphabet(widths(text)).lower()
+        return text.lower() if text.isascii() else own_alphabet(widths(text)).lower()
 
     def score(self, text: str | None) -> float:
         if not text or not text.strip():
@@ -500,9 +541,10 @@ class Grammar:
             plain = re.sub(r"(?<=[^\W\d_])\.(?=[^\W\d_])", "", plain)
         # a written \\n ends a clause, so the word behind it begins there
         whole = plain.replace("\\n", "\n")
-        if not self.triggered(whole, self.views(whole)):
+        active = self.active(whole, self.views(whole))
+        if not active:
             return 0.0
-        return max((self.accept(self.tags(c)) for c in dict.fromkeys(self.clauses(plain))), default=0.0)
+        return max((self.accept(self.tags(c, active)) for c in dict.fromkeys(self.clauses(plain))), default=0.0)
 
 
 @lru_cache(1)
@@ -512,7 +554,8 @@ def grammar() -> Grammar:
 
 def offence_score(texts: pd.Series) -> pd.Series:
     g = grammar()
-    return pd.Series([g.score(t) for t in texts], dtype="float64")
+    known = {t: g.score(t) for t in dict.fromkeys(texts)}
+    return pd.Series([known[t] for t in texts], dtype="float64")
 
 
 def score_documents(df: DataFrame, text: str = "text") -> DataFrame:

@@ -16,8 +16,8 @@ class Ungated(Grammar):
     def candidates(self, views):
         return list(self.rules)
 
-    def triggered(self, text, views):
-        return True
+    def active(self, text, views):
+        return list(self.VIEWS)
 
 
 def _one(kind, arg) -> str:
