@@ -71,7 +71,7 @@ _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t
 _LEET_WORD = re.compile(r"(?<![\w@$])(?=[a-z0-9@$!|+]*[a-z])(?=[a-z0-9@$!|+]*[0-9@$!|+])[a-z0-9@$]+(?:[!|+]+[a-z0-9@$]+)*(?![\w@$])")
 _LEET_PAIR = re.compile(r"[0-9@$!|+][a-z]|[a-z][0-9@$!|+]|@\$")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?: {2,}(?:[^\W\d_] )+[^\W\d_])*(?![^\W_])")
-_INNER = re.compile(r"[_.\-*·•~^]+(?=[^\W\d_])")
+_INNER = re.compile(r"[_.\-*·•~^]+(?= ?[^\W\d_])")
 _STARRED = re.compile(r"(?<![^\W_])([a-z])\*{2,}([a-z]?)(?![^\W_])")
 _ONE_MASK = re.compile(r"(?<![^\W_])[a-z]+[*#%][a-z]+(?![^\W_])")
 _HAN = "一-鿿぀-ヿ"
@@ -101,12 +101,18 @@ def _known() -> frozenset[str]:
     return frozenset(squeeze(w) for w in _vocabulary(f"{INSULTS}, {INSULTS_FOREIGN}, {SLURS}, {_SWEARS}") if w.isalpha())
 
 
+@lru_cache(1)
+def _scorn() -> frozenset[str]:
+    """First words of phrases of insult."""
+    return frozenset(squeeze(w.split(" ")[0]) for w in [*_vocabulary(_SCORN), *(w for w in _vocabulary(INSULTS) if " " in w)])
+
+
 def _close_up(m: re.Match) -> str:
     words = " ".join(w.replace(" ", "") for w in re.split(r" {2,}", m[0]))
     if words[0] not in "ai" or squeeze(words) in _known():
         return words
     # the first letter may be an article before the word
-    return f"{words[0]} {words[1:]}" if squeeze(words[1:].split(" ")[0]) in _known() else f"{words} {words[1:]}"
+    return f"{words[0]} {words[1:]}" if squeeze(words[1:].split(" ")[0]) in _known() | _scorn() else f"{words} {words[1:]}"
 
 
 _BANG = re.compile(r"(?<![^\W_])[a-z0-9@$]+(?:![a-z0-9@$]+)+(?![^\W_])")
@@ -117,6 +123,12 @@ def _banged(m: re.Match) -> str:
     return word if word in _known() or word.removesuffix("s") in _known() else m[0]
 
 
+def _separator(m: re.Match) -> str:
+    """Nothing for separators between two letters, also where a blank follows; a full stop before a blank stays."""
+    ends = m.string[m.end()] == " " and "." in m[0]
+    return m[0] if ends or not m.start() or not m.string[m.start() - 1].isalpha() else ""
+
+
 def undisguised(plain: str) -> str:
     """Lower-case text with disguised Latin words rewritten and every letter run written once; a run of Han, kana or
     Hangul, about which the patterns of alphabets say nothing, is one letter."""
@@ -128,8 +140,7 @@ def undisguised(plain: str) -> str:
         t = _SPACED.sub(_close_up, t)
     if _LEET_PAIR.search(t):
         t = _LEET_WORD.sub(lambda m: m[0].translate(_LEET), t)
-    # separators between two letters; the letter before is looked at only where there are any
-    t = squeeze(_INNER.sub(lambda m: "" if m.start() and m.string[m.start() - 1].isalpha() else m[0], t))
+    t = squeeze(_INNER.sub(_separator, t))
     return re.sub(r"[ \t]+", " ", t) if "  " in t or "\t" in t else t
 
 
@@ -292,7 +303,7 @@ RULES: tuple[Rule, ...] = (
     Rule("denial", -2.0, rf"{_B}(?:nobody|no one|noone) (?:ever )?(?:said|says|called|calls|thinks|meant){_E}|{_B}(?:(?:i|we|he|she|they|it)(?: am| are| is| was| were| did| do| does| have| has| had| would|'m|'re|'s|'d|'ve|’m|’re)?(?: not|n't|n’t| never))(?: actually| really| ever| even)? (?:saying|said|say|calling|called|call|suggesting|implying|imply|claiming|claimed|mean|meant){_E}"),
     Rule("negation", -1.0, rf"{_B}(?:would|will|could|does|do|did|must|can)(?:n't|n’t| not| never) (?:(?:ever|want|to|really|going|try|dare|let|anyone) ){{0,3}}(?:kill|hurt|rape|slap|punch|stab|beat|shoot|strangle|choke|hang|murder|burn) (?:you|him|her|them|anyone|anybody|yourself){_E}|{_B}never (?:want(?:ed)? to |meant to |going to |tried to |try to )?(?:kill|hurt|rape|slap|punch|stab|beat|shoot|strangle|choke|murder) (?:you|him|her|them|anyone){_E}|{_B}no ?(?:body|one) (?:should|deserves to) [a-z ]{{0,12}}?(?:die|suffer|be (?:killed|beaten|raped|shot|hurt|called [a-z ]+))"),
     _zh("negation", -1.0, r"(?<![是还就])(?:不是|并非|不算|没人骂|没说|没有说|没骂|从没说|不该骂|别骂|不要骂)[^,，。]{0,6}?(?:" + _ZH + r")(?![^。]{0,3}(?:是什么|吗|嘛))|(?:" + _ZH + r")(?:じゃない|ではない|でない)(?!か)"),
-    _zh("neutral", -1.0, r"白痴板|垃圾(?:分类|桶|车|堆|袋|场|站|箱)|废物利用|傻瓜(?:相机|式)|神经病学|鸡胸|热狗|死机|裸眼|肉色|性别|性格|性能|高潮(?:迭起|部分|段落|戏|来得)|(?:剧情|音乐|故事|情节|最后的?)高潮|(?:镜头|画面|视频|片段?|台词|音乐|字幕|特效|结果|内容|作品|素材|音效|配音)[^。,，\n]{0,4}都?是垃圾"),
+    _zh("neutral", -1.0, r"白痴板|垃圾(?:分类|桶|车|堆|袋|场|站|箱)|废物利用|傻瓜(?:相机|式)|神经病学|鸡胸|热狗|死机|裸眼|肉色|性别|性格|性能|高潮(?:迭起|部分|段落|戏|来得)|(?:剧情|音乐|故事|情节|最后的?)高潮|(?:镜头|画面|视频|片段?|台词|音乐|字幕|特效|结果|内容|作品|素材|音效|配音)[^。,，\n人你您他她者]{0,4}是垃圾"),
     Rule("rule", -2.0, rf"{_B}(?:no|without|avoid|never any|must not|may not|do not (?:show|use)|free of) (?:any )?(?:nudity|insults?|violence|slurs?|porn\w*|sex|profanity|hate|abuse|naked|explicit)|{_B}(?:slurs?|insults?|abuse|profanity|comments?){_E}[^.\n]{{0,40}}{_B}(?:removed|deleted|filtered|blocked|hidden|flagged){_E}|{_B}moderation note"),
     _zh("rule", -2.0, r"(?:不得|禁止|不要|不能|避免|严禁|不允许)(?:出现|有|使用|含有)?[^。\n]{0,12}(?:裸露|辱骂|歧视|色情|暴力|脏话|低俗)|(?:辱骂|脏话|色情|歧视)[^。\n]{0,16}(?:删除|屏蔽|过滤|移除|清理)|审核说明"),
 )

@@ -60,6 +60,7 @@ you f u c k e r
 du bist ein Arschloch
 y0u 4re 4n 1d10t
 """.strip().split("\n")
+DISGUISED = ["you are such a w o r t h l e s s   p i g", "listen, worthless- pig, nobody asked you", "做这个视频的人是垃 圾 玩 意吧", "sh!t-head, you sh*thead", "you are an 1d10t"]
 HARMLESS = """
 You are not an idiot
 I am not saying you are an idiot
@@ -128,7 +129,7 @@ you can see the idiot box in the corner
 """.strip().split("\n")
 
 
-@pytest.mark.parametrize("text", ABUSE)
+@pytest.mark.parametrize("text", ABUSE + DISGUISED)
 def test_abuse(text):
     assert grammar().score(text) >= THRESHOLD
 
