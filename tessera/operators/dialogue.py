@@ -95,6 +95,7 @@ def likelihood_decision(observed: Column, expected: Column, same_sound: Column,
 
 
 def likelihood_ratio(observed: Column, expected: Column, most: float = 50.0) -> Column:
-    return F.exp(F.least(F.lit(most), F.greatest(F.lit(-most), expected - observed)))
+    lead = expected - observed
+    return F.when(lead.isNotNull(), F.exp(F.least(F.lit(most), F.greatest(F.lit(-most), lead))))
 
 

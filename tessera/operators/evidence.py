@@ -141,5 +141,6 @@ def number_events(segments: DataFrame, key: str) -> DataFrame:
     """Numbers in segments with the time of their place: interpolated by character position."""
     found = segments.select(key, "start_sec", "end_sec", "text", F.posexplode(F.regexp_extract_all("text", F.lit(r"([0-9][0-9,]*)"), F.lit(1))).alias("n", "raw"))
     at = F.expr("length(regexp_substr(text, concat('^(?:[^0-9]*[0-9][0-9,]*){', cast(n as string), '}[^0-9]*')))")
-    middle = (at + F.length("raw") / 2) / F.length("text")
+    # a number at the very head has nothing before it
+    middle = (F.coalesce(at, F.lit(0)) + F.length("raw") / 2) / F.length("text")
     return found.select(key, (F.col("n") + 1).alias("ordinal"), F.regexp_replace("raw", ",", "").alias("digits"), (F.col("start_sec") + (F.col("end_sec") - F.col("start_sec")) * middle).alias("at_sec"))
