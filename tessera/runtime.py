@@ -39,6 +39,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; partitions and the order in them stay as they are."""
     ensure_checkpoint_dir(df.sparkSession)
