@@ -158,6 +158,23 @@ ORACLE = {
         SELECT event_id, vetoed_by FROM l LEFT JOIN h USING (event_id)""",
     "event_veto_with_rescue": f"""WITH {_E}, l AS ({_SPAN.format(key='event_id', s='l', m=240, kind='purchase')}), b AS ({_SPAN.format(key='x', s='r', m=240, kind='error')}), g AS ({_SPAN.format(key='x', s='r', m=240, kind='signup')})
         SELECT event_id FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b."user" = l."user" AND least(le, re) > greatest(ls, rs)) OR EXISTS (SELECT 1 FROM g WHERE g."user" = l."user" AND least(le, re) > greatest(ls, rs))""",
+    "event_suppressed": f"""WITH RECURSIVE {_E}, r AS (SELECT "user", event_type, event_id AS pos, ms / 1000.0 AS t, row_number() OVER (PARTITION BY "user", event_type ORDER BY value DESC, ms, event_id) AS n FROM e WHERE value IS NOT NULL),
+        g AS (SELECT "user", event_type, n, [t] AS kept, [pos] AS ids FROM r WHERE n = 1 UNION ALL
+          SELECT "user", event_type, n, CASE WHEN ok THEN list_append(kept, t) ELSE kept END, CASE WHEN ok THEN list_append(ids, pos) ELSE ids END
+          FROM (SELECT r."user", r.event_type, r.n, r.t, r.pos, g.kept, g.ids, len(list_filter(g.kept, lambda k: abs(k - r.t) <= 7200.0)) = 0 AS ok FROM g JOIN r ON r."user" = g."user" AND r.event_type = g.event_type AND r.n = g.n + 1))
+        SELECT "user", event_type, unnest(ids) AS pos FROM (SELECT "user", event_type, arg_max(ids, n) AS ids FROM g GROUP BY ALL)""",
+    "event_span_groups": f"""WITH RECURSIVE {_E}, o AS (SELECT "user", event_id AS pos, event_type AS speaker, ms / 1000.0 AS s, ms / 1000.0 + 600 AS f, row_number() OVER (PARTITION BY "user" ORDER BY ms, event_id) AS n FROM e),
+        b AS (SELECT *, coalesce(s - lag(f) OVER w > 86400.0 OR speaker <> lag(speaker) OVER w, true) AS cut FROM o WINDOW w AS (PARTITION BY "user" ORDER BY n)),
+        g AS (SELECT "user", n, pos, pos AS run_start, 0 AS group_no, s AS begin_s FROM b WHERE n = 1 UNION ALL
+          SELECT b."user", b.n, b.pos, CASE WHEN b.cut THEN b.pos ELSE g.run_start END, CASE WHEN b.cut THEN 0 WHEN b.f - g.begin_s > 200000.0 THEN g.group_no + 1 ELSE g.group_no END, CASE WHEN b.cut OR b.f - g.begin_s > 200000.0 THEN b.s ELSE g.begin_s END
+          FROM g JOIN b ON b."user" = g."user" AND b.n = g.n + 1)
+        SELECT "user", pos, run_start, CAST(group_no AS INT) AS group_no FROM g""",
+    "event_in_order_matches": f"""WITH RECURSIVE {_E}, l AS (SELECT "user", ms / 1000.0 AS t, event_id AS pos, row_number() OVER (PARTITION BY "user" ORDER BY ms, event_id) AS n FROM e WHERE event_type = 'view'),
+        r AS (SELECT "user", ms / 1000.0 AS t, event_id AS pos, row_number() OVER (PARTITION BY "user" ORDER BY ms, event_id) AS i FROM e WHERE event_type = 'click'),
+        near AS (SELECT l."user", l.n, list({{'gap': abs(r.t - l.t), 'i': r.i, 'pos': r.pos}} ORDER BY abs(r.t - l.t), r.i) AS c FROM l JOIN r ON l."user" = r."user" AND r.t BETWEEN l.t - 3600.0 AND l.t + 3600.0 GROUP BY ALL),
+        g AS (SELECT "user", 0::BIGINT AS n, 0::BIGINT AS used, NULL::BIGINT AS left_pos, NULL::STRUCT(gap DOUBLE, i BIGINT, pos BIGINT) AS hit FROM (SELECT DISTINCT "user" FROM l) UNION ALL
+          SELECT "user", n, coalesce(hit.i, used), pos, hit FROM (SELECT g."user", l.n, l.pos, g.used, list_filter(near.c, lambda x: x.i > g.used)[1] AS hit FROM g JOIN l ON l."user" = g."user" AND l.n = g.n + 1 LEFT JOIN near ON near."user" = l."user" AND near.n = l.n))
+        SELECT "user", left_pos, hit.pos AS right_pos, hit.gap AS gap FROM g WHERE hit IS NOT NULL""",
     "event_usage": "SELECT 'k' AS key, sum(CAST(json_extract(props, '$.k') AS DOUBLE)) AS total FROM events",
     "event_robust": """WITH m AS (SELECT event_type, median(value) AS med FROM events GROUP BY ALL), d AS (SELECT event_type, any_value(med) AS med, median(abs(value - med)) AS mad FROM events JOIN m USING (event_type) GROUP BY event_type),
         t AS (SELECT *, greatest(0.11, med + 4 * greatest(mad, 0.005)) AS threshold FROM d)

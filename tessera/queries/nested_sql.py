@@ -33,7 +33,7 @@ def text_of(obj: str, *names: str) -> str:
 
 
 def _array_of_objects(text: str) -> str:
-    return f"""coalesce(json_type({text}) = 'ARRAY' AND len(list_filter(from_json({text}, '["json"]'), lambda x: json_type(x) <> 'OBJECT')) = 0, false)"""
+    return f"""coalesce(json_type({text}) = 'ARRAY' AND len(list_filter(from_json({text}, '["json"]'), lambda x: json_type(x) IS DISTINCT FROM 'OBJECT')) = 0, false)"""
 
 
 def _gold(text: str) -> str:

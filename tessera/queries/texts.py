@@ -247,6 +247,8 @@ ORACLE = {
         contains(text, '灯笼') OR contains(text, 'lantern') OR contains(text, '(take two)') AS marked FROM t""",
     "doc_canonical_numbers": """WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9,]*(?:\\.[0-9]+)?')) AS raw FROM documents), d AS (SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS x FROM t)
         SELECT doc_id, raw, CASE WHEN length(x) >= 4 AND NOT regexp_matches(x, '^0*$') THEN regexp_replace(x, '^0+', '') END AS number FROM d""",
+    "prediction_json_kinds": f"""WITH p AS (SELECT DISTINCT pred_id, prediction AS t FROM predictions), k AS (SELECT pred_id, t, CASE WHEN {nested_sql.strict('t')} THEN CASE json_type(t) WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END END AS kind FROM p)
+        SELECT kind, coalesce(kind = 'array' AND len(list_filter(from_json(CASE WHEN kind = 'array' THEN t END, '["json"]'), lambda x: json_type(x) IS DISTINCT FROM 'OBJECT')) = 0, false) AS object_array, count(*) AS predictions FROM k GROUP BY ALL""",
     "sample_fenced_blocks": """WITH s AS (SELECT DISTINCT row_index, gold FROM samples), b AS (SELECT row_index, gold, regexp_extract_all(gold, '(?is)```(?:json)?[ \\t]*\\r?\\n(.*?)```', 1) AS x FROM s)
         SELECT row_index, CASE WHEN gold IS NULL THEN NULL ELSE len(x) END AS blocks, length(x[-1]) AS last_length FROM b""",
     "issue_time_ranges": f"""{nested_sql.WITH}, r AS (SELECT {nested_sql.text_of('o', '时间区间', 'time_range')} AS raw FROM issue WHERE record_kind = 'prediction'), g AS (SELECT raw, count(*) AS n FROM r WHERE raw IS NOT NULL GROUP BY raw),

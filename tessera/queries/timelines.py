@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.geometry import boxes_overlap, expanded_box, interval_gap, likely_subtitle, midpoint, nearby_boxes
@@ -11,7 +13,7 @@ from tessera.operators import contracts, crosstabs, matching, vectors
 from tessera.operators.greedy import merge_captions, spatially_distinct
 from tessera.operators.intervals import overlap_join
 from tessera.plans import alignment
-from tessera.runtime import ensure_checkpoint_dir, table
+from tessera.runtime import shared_folder, table
 from tessera.streaming import sessions as streams
 
 WIDTH = 10_000
@@ -134,34 +136,31 @@ def order_last_of_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.last_wins(o, "o_custkey", "order").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
+def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/stream_{uuid4().hex}"
+    return streams.drain(stream, path, f"{path}_state", mode)
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.file_stream(spark, f"{sf_dir}/event[s].parquet", table(spark, sf_dir, "events"))
+
+
 def stream_hourly_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: tumbling hours over the event file as a stream, complete mode."""
-    src = streams.file_stream(spark, f"{sf_dir}/event[s].parquet", table(spark, sf_dir, "events"))
-    out = streams.drain(streams.tumbling_values(src, "ts", "value"), _stream_name(), _checkpoint(spark), "complete")
+    out = _drained(spark, streams.tumbling_values(_event_stream(spark, sf_dir), "ts", "value"), "complete")
     return out.select(F.unix_millis("start").alias("start_ms"), "events", F.round(F.col("total") * 100).cast("bigint").alias("cents"))
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extension: closed six-hour sessions of a stream."""
-    src = streams.file_stream(spark, f"{sf_dir}/event[s].parquet", table(spark, sf_dir, "events"))
-    return streams.drain(streams.session_counts(src, "user_id", "ts"), _stream_name(), _checkpoint(spark))
+    """Extension: six-hour sessions of a stream, the open ones at its end among them."""
+    out = _drained(spark, streams.session_counts(_event_stream(spark, sf_dir), "user_id", "ts"), "complete")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
 
 
 def stream_running_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extension: state kept by key."""
-    src = streams.file_stream(spark, f"{sf_dir}/event[s].parquet", table(spark, sf_dir, "events"))
-    return streams.drain(streams.running_maximum(src, "user_id", "value"), _stream_name(), _checkpoint(spark))
-
-
-def _stream_name() -> str:
-    from uuid import uuid4
-
-    return f"stream_{uuid4().hex}"
-
-
-def _checkpoint(spark: SparkSession) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{_stream_name()}"
+    """Extension: state kept by key; the highest of the maxima that were emitted, however the files fell into batches."""
+    out = _drained(spark, streams.running_maximum(_event_stream(spark, sf_dir), "user_id", "value"), "append")
+    return out.groupBy("key").agg(F.max("top").alias("top"))
 
 
 QUERIES = {
@@ -195,6 +194,20 @@ ORACLE = {
         CASE WHEN e IS NULL THEN CAST(s AS DOUBLE) ELSE (s + e) / 2.0 END AS middle FROM b""",
     "caption_gaps": f"""WITH {_SEG}, {_SUB}, f AS (SELECT sample_id, s, e FROM seg WHERE sample_id IS NOT NULL AND s IS NOT NULL AND e IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY s, seg_id) = 1)
         SELECT sub_id, CAST(greatest(0, greatest(sub.s, f.s) - least(sub.e, f.e)) AS DOUBLE) AS gap FROM sub JOIN f USING (sample_id) WHERE sub.s IS NOT NULL AND sub.e IS NOT NULL""",
+    "stream_sessions": """WITH s AS (SELECT user_id, epoch_us(ts) AS t FROM events), f AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 21600000000 THEN 0 ELSE 1 END AS b FROM s),
+        g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM f)
+        SELECT user_id, min(t) AS start_us, max(t) + 21600000000 AS end_us, count(*) AS events FROM g GROUP BY user_id, n""",
+    "stream_running_maximum": "SELECT user_id AS key, max(value) AS top FROM events GROUP BY user_id",
+    "caption_components": """WITH RECURSIVE a AS (SELECT DISTINCT seg_id, sample_id, CAST(round(start_sec * 1000) AS BIGINT) AS s, CAST(round(end_sec * 1000) AS BIGINT) AS e FROM speech_segments),
+        b AS (SELECT DISTINCT sub_id, sample_id, CAST(round(start_sec * 1000) AS BIGINT) AS s, CAST(round(end_sec * 1000) AS BIGINT) AS e FROM subtitle_segments),
+        p AS (SELECT DISTINCT 's:' || seg_id AS x, 't:' || sub_id AS y FROM a JOIN b USING (sample_id) WHERE a.e > a.s AND b.e > b.s AND least(a.e, b.e) > greatest(a.s, b.s)),
+        edge AS (SELECT x, y FROM p UNION SELECT y, x FROM p), reach AS (SELECT x AS node, x AS other FROM edge UNION SELECT r.node, edge.y FROM reach r JOIN edge ON edge.x = r.other)
+        SELECT node, min(other) AS component FROM reach GROUP BY node""",
+    "caption_distinct": """WITH RECURSIVE s AS (SELECT DISTINCT sub_id, sample_id, CAST(round(start_sec * 1000) AS BIGINT) AS s, text, bbox, coalesce(confidence, 0) AS c FROM subtitle_segments WHERE sample_id IS NOT NULL AND bbox IS NOT NULL AND start_sec IS NOT NULL),
+        r AS (SELECT sample_id || '/' || CAST(floor(s / 60000) AS BIGINT) AS minute, sub_id AS pos, {'t': text, 'x': (bbox.x1 + bbox.x2) / 2, 'y': (bbox.y1 + bbox.y2) / 2} AS v, row_number() OVER (PARTITION BY sample_id || '/' || CAST(floor(s / 60000) AS BIGINT) ORDER BY c DESC, sub_id) AS n FROM s),
+        g AS (SELECT minute, n, [v] AS kept, [pos] AS ids FROM r WHERE n = 1 UNION ALL
+          SELECT r.minute, r.n, CASE WHEN ok THEN list_append(kept, v) ELSE kept END, CASE WHEN ok THEN list_append(ids, pos) ELSE ids END FROM (SELECT r.*, g.kept, g.ids, len(g.kept) < 3 AND len(list_filter(g.kept, lambda k: k.t IS NOT DISTINCT FROM r.v.t AND abs(k.x - r.v.x) <= 0.15 AND abs(k.y - r.v.y) <= 0.12)) = 0 AS ok FROM g JOIN r ON r.minute = g.minute AND r.n = g.n + 1) r)
+        SELECT minute, unnest(ids) AS pos FROM (SELECT minute, arg_max(ids, n) AS ids FROM g GROUP BY minute)""",
     "embedding_pairs": """WITH p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
         SELECT left_id, right_id, CAST(round(c * 10000) AS INT) AS cosine FROM p WHERE c >= 0.2""",
     "embedding_quality": """WITH p AS (SELECT a.label AS block, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id),

@@ -13,7 +13,8 @@ def file_stream(spark: SparkSession, folder: str, like: DataFrame, files: int =
 
 
 def session_counts(events: DataFrame, key: str, time: str, gap: str = "6 hours", late: str = "10 minutes") -> DataFrame:
-    """Closed sessions of each key with event-time watermark: key, start, end, events."""
+    """Sessions of each key by event time: key, start, end, events. A stream in append mode gives a session when the
+    watermark has closed it, one in complete mode all of them, the open ones as they are."""
     rows = events.withColumn("_t", F.col(time).cast("timestamp"))
     rows = rows.withWatermark("_t", late) if events.isStreaming else rows
     out = rows.groupBy(key, F.session_window("_t", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"))
@@ -46,11 +47,16 @@ def running_maximum(events: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(run, "key bigint, top double", "top double", "append", "NoTimeout")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now into a memory table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now into files of `path`: a folder for each micro-batch in append mode, so a
+    batch that is run again replaces itself, and one folder that is replaced in complete mode."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/{'all' if mode == 'complete' else batch}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/*")
 
 
 def append_stream(stream: DataFrame, path: str, key: str, checkpoint: str) -> None:
