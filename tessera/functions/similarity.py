@@ -68,17 +68,21 @@ def difference_kind(ops: Column) -> Column:
 
 
 def best_substring(query: str, target: str) -> tuple[int, int, int]:
-    """(edits, start, end) of the part of target nearest to query; of equals the longer, then the earlier."""
+    """(edits, start, end) of the part of target nearest to query, both ends of target free. Of equal costs a letter
+    kept or replaced comes before one left out and one put in; of equal ends the one whose part is nearest to the
+    query's length, then the earliest. (len(query), 0, 0) where nothing of the target is used."""
     n, m = len(query), len(target)
-    prev = [(0, j) for j in range(m + 1)]
-    for i in range(1, n + 1):
-        row = [(i, 0)]
-        for j in range(1, m + 1):
-            a, b, c = prev[j - 1], prev[j], row[j - 1]
-            row.append(min((a[0] + (query[i - 1] != target[j - 1]), a[1]), (b[0] + 1, b[1]), (c[0] + 1, c[1])))
-        prev = row
-    edits_, length, start, end = min((cost, -(j - s), s, j) for j, (cost, s) in enumerate(prev))
-    return edits_, start, end
+    cost, start = [0] * (m + 1), list(range(m + 1))
+    for i, q in enumerate(query, 1):
+        below, begun = [i], [0]
+        for j, t in enumerate(target, 1):
+            c, _, s = min((cost[j - 1] + (q != t), 0, start[j - 1]), (cost[j] + 1, 1, start[j]), (below[-1] + 1, 2, begun[-1]))
+            below.append(c)
+            begun.append(s)
+        cost, start = below, begun
+    # an end at 0 would use nothing of the target
+    end = min(range(1, m + 1), key=lambda j: (cost[j], abs(j - start[j] - n), j), default=0)
+    return (cost[end], start[end], end) if start[end] < end else (n, 0, 0)
 
 
 def semi_global(query: Column, target: Column) -> Column:
@@ -99,6 +103,21 @@ def semi_global(query: Column, target: Column) -> Column:
     return F.pandas_udf(run, "edits int, start int, end int, similarity double")(query, target)
 
 
+_BLOCKS = "array<struct<kind:string,observed:string,expected:string,observed_start:int,observed_end:int,expected_start:int,expected_end:int>>"
+
+
+def block_differences(observed: Column, expected: Column) -> Column:
+    """Blocks in which two texts differ, between their matching blocks: kind ('replace', 'delete', 'insert'), both texts
+    and where they stand; NULL for a NULL text."""
+    names = ("kind", "observed", "expected", "observed_start", "observed_end", "expected_start", "expected_end")
+
+    def blocks(a: str, b: str) -> list[dict]:
+        codes = SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+        return [dict(zip(names, (k, a[i:j], b[x:y], i, j, x, y))) for k, i, j, x, y in codes if k != "equal"]
+
+    return F.pandas_udf(lambda a, b: pd.Series([None if x is None or y is None else blocks(x, y) for x, y in zip(a, b)], dtype=object), _BLOCKS)(observed, expected)
+
+
 def passes_anchor_gates(query: Column, match: Column, least: float = 0.80, letters: int = 5, most: int = 4) -> Column:
     """Long enough, similar enough, few edits for the length, and of like length."""
     allowed = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.length(query) * 0.2)))

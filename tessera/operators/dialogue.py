@@ -85,6 +85,91 @@ def anchors(segments: DataFrame, prompts: DataFrame, on: str, seg_id: str) -> Da
     return near.where(passes_anchor_gates(F.col("q"), F.col("m"))).select(seg_id, "m.edits", "m.start", "m.end", "m.similarity")
 
 
+# Words of speech before a colon, and the bounds of windows and of the list of candidates.
+CUES = ("说", "说道", "说到", "道", "问", "问道", "回答", "喊", "喊道", "大喊", "高喊", "急喊", "低声说", "大声说")
+WINDOW_SEGMENTS, WINDOW_LETTERS, LEAST_LETTERS, MOST_CANDIDATES = 3, 72, 5, 12
+_ANCHOR = "first_seg bigint, last_seg bigint, width int, sequence int, observed string, expected string, similarity double, edits int, place int, start_sec double, differences array<struct<kind:string,observed:string,expected:string,observed_start:int,observed_end:int,expected_start:int,expected_end:int>>"
+
+
+def is_cue_artifact(observed: Column, expected: Column, differences: Column) -> Column:
+    """Whether all that differs is a word of speech that stands in the prompt before the line and was never spoken."""
+    cue = F.coalesce(*[F.when(expected.startswith(c), F.lit(c)) for c in sorted(CUES, key=len, reverse=True)])
+    body = F.substring(expected, F.length(cue) + 1, F.length(expected))
+    early = F.forall(differences, lambda d: (d["expected_end"] <= F.length(cue)) & (d["observed_end"] <= F.greatest(F.length(cue), F.lit(1))))
+    return F.coalesce((F.length(body) >= LEAST_LETTERS) & observed.endswith(body) & (F.size(differences) > 0) & early, F.lit(False))
+
+
+def _chosen(rows: list[dict]) -> list[tuple]:
+    """The anchors of one clip: single segments first; then, in order, for each segment that has none the best window
+    around it that shows a difference not seen yet, or none at all."""
+    fields = ("first_seg", "last_seg", "width", "sequence", "observed", "expected", "similarity", "edits", "place", "start_sec", "differences")
+    seen, placed, taken, out = set(), set(), set(), []
+    mark = lambda r: {(d["kind"], r["place"] + d["expected_start"], r["place"] + d["expected_end"], d["observed"], d["expected"]) for d in r["differences"]}
+
+    def take(r: dict) -> None:
+        seen.update(mark(r))
+        placed.update(range(r["sequence"], r["sequence"] + r["width"]))
+        out.append((r["_clip"], *(r[f] for f in fields)))
+
+    for r in rows:
+        if r["width"] == 1:
+            take(r)
+    windows = [r for r in rows if r["width"] > 1]
+    around: dict[int, list[dict]] = {}
+    for r in windows:
+        for k in range(r["sequence"], r["sequence"] + r["width"]):
+            around.setdefault(k, []).append(r)
+    for k in sorted(around):
+        fit = [r for r in around[k] if (r["sequence"], r["width"]) not in taken and not (mark(r) and mark(r) <= seen)]
+        if k not in placed and fit:
+            best = max(fit, key=lambda r: (r["similarity"], len(r["observed"]), -r["edits"], -r["width"], -r["sequence"]))
+            taken.add((best["sequence"], best["width"]))
+            take(best)
+    return out
+
+
+def prompt_candidates(segments: DataFrame, prompts: DataFrame, on: str, seg_id: str, most: int = MOST_CANDIDATES) -> DataFrame:
+    """Where the speech of a clip stands in its prompt, and what was said otherwise: on, first_seg, last_seg, observed,
+    expected, similarity, edits, differences, status.
+
+    Two passes: segments by themselves, then windows of two or three neighbours for segments left over. status is
+    'matched' without a difference, 'cue' where only a word of speech of the prompt is missing, 'candidate' for the best
+    `most` others of a clip by likeness, length and time, 'further' for the rest. segments: on, seg_id, start_sec,
+    end_sec, speaker, text; prompts: on (unique), prompt. Segments without a start have no place and no window; null
+    texts count as empty. Alignment runs on windows anywhere in the cluster behind a lossless screen; only what passes
+    the gates meets in the choice, one clip at a time.
+    """
+    from tessera.functions.similarity import block_differences
+    from tessera.functions.textops import folded_with_offsets
+    from tessera.operators.runs import by_group, compatible_neighbours, numbered, windows
+
+    fold = lambda c: F.coalesce(folded_with_offsets(c)["text"], F.lit(""))
+    own = segments.where(F.col(on).isNotNull() & F.col("start_sec").isNotNull()).select(F.col(on).alias("_clip"), F.col(seg_id).cast("bigint").alias("_seg"), "start_sec", "end_sec", "speaker", fold(F.col("text")).alias("_w"))
+    rows = numbered(own, "_clip", ["start_sec", "_seg"])
+    text = prompts.select(F.col(on).alias("_clip"), fold(F.col("prompt")).alias("_p"))
+    parts = []
+    for width in range(1, WINDOW_SEGMENTS + 1):
+        w = windows(rows, "_clip", "sequence", width, ["_seg", "start_sec", "end_sec", "speaker", "_w"])
+        for k in range(1, width):
+            w = w.where(compatible_neighbours(F.col("window")[k - 1], F.col("window")[k]))
+        parts.append(w.select("_clip", F.col("window")[0]["_seg"].alias("first_seg"), F.col("window")[width - 1]["_seg"].alias("last_seg"), F.lit(width).alias("width"), F.col("pos").cast("int").alias("sequence"), F.array_join(F.transform("window", lambda x: x["_w"]), "").alias("observed"), F.col("window")[0]["start_sec"].alias("start_sec")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    sized = every.where(F.length("observed").between(LEAST_LETTERS, WINDOW_LETTERS)).join(text, "_clip")
+    near = sized.where(may_hold(F.col("observed"), F.col("_p"))).withColumn("m", semi_global(F.col("observed"), F.col("_p")))
+    hit = near.where(passes_anchor_gates(F.col("observed"), F.col("m")) & (F.col("m.end") - F.col("m.start") >= LEAST_LETTERS))
+    hit = hit.withColumn("expected", F.substring(F.col("_p"), F.col("m.start") + 1, F.col("m.end") - F.col("m.start")))
+    hit = hit.select("_clip", "first_seg", "last_seg", "width", "sequence", "observed", "expected", "m.similarity", "m.edits", F.col("m.start").alias("place"), "start_sec", block_differences(F.col("observed"), F.col("expected")).alias("differences"))
+    chosen = by_group(hit, ["_clip"], ["sequence", "width"], _chosen, f"_clip string, {_ANCHOR}")
+    cue = is_cue_artifact(F.col("observed"), F.col("expected"), F.col("differences"))
+    out = chosen.withColumn("status", F.when(F.size("differences") == 0, "matched").when(cue, "cue").otherwise("candidate"))
+    rank = F.struct((-F.col("similarity")).alias("a"), (-F.length("observed")).alias("b"), F.col("start_sec").alias("c"), F.col("first_seg").alias("d"))
+    best = out.where("status = 'candidate'").groupBy("_clip").agg(F.slice(F.array_sort(F.collect_list(rank)), 1, most).alias("_best"))
+    out = out.join(best, "_clip", "left").withColumn("status", F.when((F.col("status") == "candidate") & ~F.array_contains("_best", rank), "further").otherwise(F.col("status")))
+    return out.select(F.col("_clip").alias(on), "first_seg", "last_seg", "observed", "expected", "similarity", "edits", "differences", "status")
+
+
 def likelihood_decision(observed: Column, expected: Column, same_sound: Column, delta: float = 0.70) -> Column:
     """'failed' without both scores, 'homophone', or which reading is preferred by more than delta, else 'ambiguous'."""
     lead = expected - observed
