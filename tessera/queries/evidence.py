@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import geometry, jsonops, textops, validation
 from tessera.functions.timeops import to_ms
-from tessera.operators import contracts, dialogue, evidence, matching, runs, vectors
+from tessera.operators import contracts, dialogue, evidence, matching, mediachecks, roles, runs, vectors
 from tessera.operators.intervals import overlaps
 from tessera.operators.nested import nested_tables, subtype_table
-from tessera.plans import rules, sampling
+from tessera.plans import drivers, rules, sampling
 from tessera.plans.registry import Stages
 from tessera.queries import nested_sql
 from tessera.queries.nested_sql import text_of
@@ -463,3 +463,106 @@ def stage_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         stages.run("broken")
     return stages.trace(spark)
+
+
+# ---- runs ------------------------------------------------------------------------------------------------------------
+@_query("""WITH m AS (SELECT unnest(['small', 'large']) AS model, unnest([0, 1]) AS i), p AS (SELECT unnest(['baseline', 'dense', 'cropped']) AS profile, unnest([0, 1, 2]) AS j), n AS (SELECT unnest(['8', '16']) AS images, unnest([0, 1]) AS k)
+    SELECT CAST(1 + i * 6 + j * 2 + k AS INT) AS run, model, profile, images, 'run --model ' || model || ' --profile ' || profile || ' --images ' || images AS command FROM m, p, n""")
+def run_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model with every profile and number of images, as numbered commands."""
+    dims = {"model": ["small", "large"], "profile": [p[0] for p in drivers.PROFILES], "images": ["8", "16"]}
+    return drivers.run_matrix(spark, dims, "run --model {model} --profile {profile} --images {images}")
+
+
+@_query("SELECT * FROM (VALUES ('baseline', 1.0::DOUBLE, 32, 'none', 'none'), ('dense', 2.0, 60, 'none', 'audio'), ('cropped', 2.0, 60, 'role', 'audio')) t(profile, fps, frames, crop, audio)")
+def run_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drivers.profiles(spark)
+
+
+@_query("""WITH c AS (SELECT DISTINCT user_id FROM events UNION SELECT -1), l AS (SELECT user_id, arg_max(event_type, event_id) AS last_record, count(*) AS lines FROM events GROUP BY user_id)
+    SELECT user_id, user_id % 3 AS exit_code, last_record, coalesce(lines, 0) AS lines, user_id % 3 <> 0 AS failed FROM c LEFT JOIN l USING (user_id)""")
+def run_last_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exit code of each run with the last line of its log; one run has no log."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    exits = e.select("user_id").distinct().unionByName(spark.range(1).select(F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"))).withColumn("exit_code", F.col("user_id") % 3)
+    return drivers.run_outcomes(exits, e, "user_id", "event_id", "event_type")
+
+
+@_query(f"""WITH {_EVENTS}, a AS (SELECT event_id, CASE WHEN value < 5 THEN 'low' END AS ea, CASE WHEN event_type = 'error' THEN 'tool' END AS eb, k, value FROM e)
+    SELECT event_id, CASE WHEN ea IS NULL THEN CAST(floor(value) AS BIGINT) END AS read_value, CASE WHEN ea IS NULL THEN 'ok' ELSE 'failed' END AS read_status, ea AS read_error, CASE WHEN ea IS NULL AND eb IS NULL THEN k END AS check_value,
+      CASE WHEN ea IS NOT NULL THEN 'skipped' WHEN eb IS NULL THEN 'ok' ELSE 'failed' END AS check_status, CASE WHEN ea IS NULL THEN eb END AS check_error, CASE WHEN ea IS NOT NULL THEN 'read' WHEN eb IS NOT NULL THEN 'check' END AS failed_stage FROM a""")
+def run_staged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stages over every row, with the error of a row beside it and nothing behind a failed stage."""
+    stages = [("read", F.floor("value"), F.when(F.col("value") < 5, "low")), ("check", F.col("k"), F.when(F.col("event_type") == "error", "tool"))]
+    return drivers.staged(_events(spark, sf_dir), stages).select("event_id", *[f"{s}_{c}" for s in ("read", "check") for c in ("value", "status", "error")], "failed_stage")
+
+
+@_query("""WITH l AS (SELECT doc_id, arg_max(offensive IS NOT NULL, (reviewed_at, reviewer)) AS ok FROM review_labels GROUP BY doc_id)
+    SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l WHERE ok)""")
+def run_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose last review did not end well, or that have none: what a resumed run still has to do."""
+    log = table(spark, sf_dir, "review_labels").select("doc_id", F.struct("reviewed_at", "reviewer").alias("position"), F.when(F.col("offensive").isNotNull(), "ok").otherwise("failed").alias("status"))
+    return drivers.remaining(_documents(spark, sf_dir).select("doc_id"), log, "doc_id")
+
+
+@_query("""WITH s AS (SELECT DISTINCT row_index, video AS v FROM samples), p AS (SELECT row_index, v, 'http://x/' || v AS u, '../' || v AS up, '/data/./gen' || v AS inside FROM s)
+    SELECT row_index, CASE WHEN starts_with(v, '/data/') AND v NOT LIKE '%..%' THEN v END AS path, CASE WHEN coalesce(trim(v, ' '), '') = '' THEN 'empty' WHEN NOT starts_with(v, '/data/') THEN 'outside' END AS error, CASE WHEN v IS NULL THEN 'empty' ELSE 'url' END AS url_error,
+      CASE WHEN v IS NULL THEN 'empty' WHEN starts_with(v, '/data/') THEN NULL ELSE 'outside' END AS up_error, '/data/gen' || rtrim(v, '/') AS inside FROM p""")
+def run_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media paths under one root: as they are, as a URL, one step up, and with a step that stays."""
+    v = F.col("video")
+    at = {n: drivers.path_under(c, "/data") for n, c in {"own": v, "url": F.concat(F.lit("http://x/"), v), "up": F.concat(F.lit("../"), v.substr(F.lit(2), F.length(v))), "inside": F.concat(F.lit("/data/./gen"), v)}.items()}
+    return _samples(spark, sf_dir).select("row_index", at["own"]["path"].alias("path"), at["own"]["error"].alias("error"), at["url"]["error"].alias("url_error"), at["up"]["error"].alias("up_error"), at["inside"]["path"].alias("inside"))
+
+
+@_query("""WITH s AS (SELECT DISTINCT seg_id, words, text FROM speech_segments), l AS (SELECT seg_id, list_filter(list_transform(words, lambda w: w.text), lambda t: t IS NOT NULL) AS w, CASE WHEN text IS NOT NULL THEN [text] END AS t FROM s)
+    SELECT seg_id, CASE WHEN len(w) > 0 THEN len(w) WHEN t IS NOT NULL THEN 1 ELSE 0 END AS parts, CASE WHEN len(w) > 0 THEN w[1] ELSE t[1] END AS first_part FROM l""")
+def segment_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a segment consists of: its words, else its text, else nothing."""
+    s = table(spark, sf_dir, "speech_segments").dropDuplicates(["seg_id"])
+    words = F.filter(F.transform("words", lambda w: w["text"]), lambda t: t.isNotNull())
+    parts = drivers.first_available(words, F.when(F.col("text").isNotNull(), F.array("text")))
+    return s.select("seg_id", F.size(parts).cast("bigint").alias("parts"), F.try_element_at(parts, F.lit(1)).alias("first_part"))
+
+
+@_query("""WITH s AS (SELECT DISTINCT row_index, sample_id FROM samples), p AS (SELECT row_index, prediction_source AS src, count(DISTINCT pred_id) AS n FROM predictions GROUP BY ALL)
+    SELECT s.row_index, '{"sample_id":"' || coalesce(sample_id, '') || '","predictions":[' || (SELECT string_agg('{"source":"' || t || '","prediction":"' || coalesce(CAST(n AS VARCHAR), '[]') || '"}', ',' ORDER BY t) FROM (SELECT unnest(['A', 'B', 'C']) AS t) x LEFT JOIN p ON p.row_index = s.row_index AND p.src = x.t) || ']}' AS payload FROM s""")
+def review_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reviewer gets of each sample: its fields and its sources in fixed order (here how many predictions each gave)."""
+    n = _predictions(spark, sf_dir).groupBy("row_index").agg(*[F.nullif(F.count_if(F.col("prediction_source") == x), F.lit(0)).cast("string").alias(x) for x in "ABC"])
+    rows = _samples(spark, sf_dir).select("row_index", "sample_id").join(n, "row_index", "left")
+    return rows.select("row_index", drivers.review_payload({"sample_id": F.col("sample_id")}, {x: F.col(x) for x in "ABC"}).alias("payload"))
+
+
+@_query("""WITH v AS (SELECT doc_id, arg_min(CASE WHEN offensive = 1 THEN 'supported' WHEN offensive = 0 THEN 'contradicted' ELSE 'unsure' END, (reviewed_at, reviewer)) AS verdict FROM review_labels GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN doc_kind = 'prompt' THEN 'settled' WHEN lang IS NULL THEN 'not_verified' WHEN verdict IN ('supported', 'contradicted') THEN verdict ELSE 'inconclusive' END AS outcome FROM documents LEFT JOIN v USING (doc_id)""")
+def label_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts are settled; other documents stay by their verdict, and are abstained from where none was to be had."""
+    d = _documents(spark, sf_dir).select("doc_id", "doc_kind", "lang")
+    out = mediachecks.gated_by_verdicts(d.where("doc_kind <> 'prompt'"), d.where("doc_kind = 'prompt'"), _verdicts(spark, sf_dir), "doc_id", F.col("lang").isNotNull())
+    return out.select("doc_id", "outcome")
+
+
+@_query()
+def prompt_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that prompts give to roles, each checked against the place it is said to stand at."""
+    s = _samples(spark, sf_dir).select("row_index", "prompt").withColumn("plan", roles.cast_plan(F.col("prompt")))
+    turns = s.select("row_index", "plan.scope", F.explode("plan.turns").alias("t")).select("row_index", "scope", "t.turn", "t.role", "t.rule", "t.dialogue", "t.start_sec", "t.end_sec")
+    return turns.join(roles.valid_spans(s, "row_index", "prompt"), ["row_index", "turn"])
+
+
+@_query()
+def prompt_media_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements that prompts and feedback state, against the length of the clip's speech; sizes are not measured here."""
+    clips = _clips(spark, sf_dir)
+    s = _samples(spark, sf_dir).select("row_index", "sample_id", "prompt", "feedback").join(clips, "sample_id", "left")
+    none = F.lit(None).cast("int")
+    return mediachecks.check_constraints(s, "row_index", {"prompt": F.col("prompt"), "feedback": F.col("feedback")}, none, none, F.col("duration"))
+
+
+@_query()
+def speech_prompt_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where speech stands in the prompt of its clip, and what was said otherwise."""
+    seg = table(spark, sf_dir, "speech_segments").where("sample_id IS NOT NULL").dropDuplicates(["seg_id"])
+    prompts = contracts.first_wins(_samples(spark, sf_dir).where("sample_id IS NOT NULL AND prompt IS NOT NULL").select("sample_id", "prompt", "row_index"), ["sample_id"], "row_index")
+    return dialogue.prompt_candidates(seg, prompts, "sample_id", "seg_id").drop("differences")
