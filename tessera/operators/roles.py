@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 # ---- Fixed values: forms, word lists and windows of the annotation format -------------------------------------------
 _NAME = r"[\w㐀-鿿·]{1,24}"
@@ -116,9 +116,11 @@ class Cast:
     def _subject(self, at: int) -> tuple[str, str] | None:
         """The subject of the sentence that ends in a word of speech."""
         before = self.text[max(0, at - ACTION_WINDOW) : at]
-        cue = CUE.search(before)
+        cue = CUE.search(before) if before.rstrip().endswith((":", "：")) else None
+        if cue is None:
+            return None
         places = sorted((before.rfind(name), role) for name, role in self.names.items() if name in before)
-        if cue is None or not places:
+        if not places:
             return None
         action = max(before.rfind(a) for a in ACTION)
         acting = [p for p in places if p[0] > action >= 0]
@@ -131,7 +133,8 @@ class Cast:
 
     def _named(self, at: int) -> tuple[str, str] | None:
         """A name before a colon; where roles are declared it must be one of them."""
-        said = SAYS.search(self.text[max(0, at - ROLE_WINDOW) : at])
+        before = self.text[max(0, at - ROLE_WINDOW) : at]
+        said = SAYS.search(before) if before.rstrip().endswith((":", "：")) else None
         if said is None:
             return None
         ending = next((e for e in SAYS_ENDINGS if said[1].endswith(e) and len(said[1]) > len(e)), "")
@@ -187,8 +190,8 @@ def cast_plan(text: Column) -> Column:
     return F.pandas_udf(run, PLAN)(text)
 
 
-def valid_spans(plans: DataFrame, key: str, text: str, plan: str = "plan") -> DataFrame:
-    """key, turn and whether the words stand at the place that is stated, for plans that were kept and come back."""
-    rows = plans.select(F.col(key), F.col(text).alias("_text"), F.explode(F.col(f"{plan}.turns")).alias("_turn"))
-    there = F.substring(F.col("_text"), F.col("_turn.start") + 1, F.col("_turn.end") - F.col("_turn.start"))
-    return rows.select(key, F.col("_turn.turn").alias("turn"), (F.regexp_replace(there, '^[\\s"“”]+|[\\s"“”]+$', "") == F.col("_turn.dialogue")).alias("valid"))
+def stands_there(text: Column, turn: Column) -> Column:
+    """Whether the words of a turn stand in the text at the place that is stated: for plans that were kept and come
+    back."""
+    there = F.substring(text, turn["start"] + 1, turn["end"] - turn["start"])
+    return F.regexp_replace(there, '^[\\s"“”]+|[\\s"“”]+$', "") == turn["dialogue"]

@@ -544,11 +544,11 @@ def label_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query()
-def prompt_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that prompts give to roles, each checked against the place it is said to stand at."""
-    s = _samples(spark, sf_dir).select("row_index", "prompt").withColumn("plan", roles.cast_plan(F.col("prompt")))
-    turns = s.select("row_index", "plan.scope", F.explode("plan.turns").alias("t")).select("row_index", "scope", "t.turn", "t.role", "t.rule", "t.dialogue", "t.start_sec", "t.end_sec")
-    return turns.join(roles.valid_spans(s, "row_index", "prompt"), ["row_index", "turn"])
+def document_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that texts give to roles, each checked against the place it is said to stand at."""
+    d = _documents(spark, sf_dir).select("doc_id", "text", roles.cast_plan(F.col("text")).alias("plan"))
+    turns = d.select("doc_id", "text", "plan.scope", F.explode("plan.turns").alias("t"))
+    return turns.select("doc_id", "scope", "t.turn", "t.role", "t.rule", "t.dialogue", "t.start_sec", "t.end_sec", roles.stands_there(F.col("text"), F.col("t")).alias("valid"))
 
 
 @_query()

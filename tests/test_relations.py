@@ -159,5 +159,5 @@ def test_sinks_and_streams(spark, tmp_path):
     df.write.parquet(src)
     ST.append_stream(ST.file_stream(spark, src, df, 100), str(tmp_path / "log2"), "user_id", str(tmp_path / "c2"))
     assert spark.read.json(str(tmp_path / "log2")).count() == 2
-    tops = ST.drain(ST.running_maximum(ST.file_stream(spark, src, df, 100), "user_id", "value"), "tops", str(tmp_path / "c1"))
+    tops = ST.drain(ST.running_maximum(ST.file_stream(spark, src, df, 100), "user_id", "value"), str(tmp_path / "tops"), str(tmp_path / "c1"))
     assert [tuple(r) for r in tops.collect()] == [(1, 1.5)]

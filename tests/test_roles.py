@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import mediachecks as M
-from tessera.operators.roles import Cast, cast_plan, valid_spans, whole_role
+from tessera.operators.roles import Cast, cast_plan, stands_there, whole_role
 
 TABLE = "视频角色对照表：店长=【图1】；小雨=图2，老周=无\n视频场景对照表：街道=图3\n"
 
@@ -42,7 +42,9 @@ def test_scope_times_and_images(spark):
     assert [got[k].scope for k in range(6)] == ["closed", "partial", "partial", "none", "none", "none"]
     one, two = got[0].turns
     assert (one.start_sec, one.end_sec, one.images, two.start_sec, two.images, got[0].roles) == (0.0, 2.0, [1], None, [2], ["店长", "小雨"])
-    assert all(r.valid for r in valid_spans(df, "k", "t").collect())
+    kept = df.select("t", F.explode("plan.turns").alias("x"))
+    assert {r[0] for r in kept.select(stands_there(F.col("t"), F.col("x"))).collect()} == {True}
+    assert {r[0] for r in kept.select(stands_there(F.lit("other"), F.col("x"))).collect()} == {False}
 
 
 def test_constraints():
