@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.nested import union_all
 from tessera.runtime import cut
@@ -86,8 +86,8 @@ def token_ids(df: DataFrame, key: str, text: str, ranks_file: str = RANKS, chunk
     Texts of at most `chunk` characters are encoded where they lie. Longer ones are cut into overlapping chunks that
     are pre-tokenised by any tasks. Splitting a text has no memory: where two neighbouring chunks share a split point
     in their overlap, they agree from there on. The first such point ends one piece and begins the next; the pieces
-    are encoded independently and put together in order. A text with an overlap without a shared point (one unbroken
-    run of over `overlap` characters) is encoded whole.
+    are encoded independently and put together in order. Where an overlap has no shared point (one unbroken run of
+    over `overlap` characters), the two chunks are one piece; the other pieces of the text stay as they are.
     """
     rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     long = F.length("_text") > chunk
@@ -95,28 +95,22 @@ def token_ids(df: DataFrame, key: str, text: str, ranks_file: str = RANKS, chunk
     short = rows.where(F.coalesce(~long, F.lit(True))).select("_id", encode("_text").alias("ids"))
 
     parts = rows.where(long).mapInPandas(lambda it: _chunks(it, chunk, overlap), _CHUNK_COLS).repartition("_id", "_chunk")
-    zones = cut(parts.mapInPandas(lambda it: _zones(it, chunk, overlap), _CHUNK_COLS + ", _head array<bigint>, _tail array<bigint>").distinct())
-    before = zones.select("_id", (F.col("_chunk") + 1).alias("_chunk"), F.col("_tail").alias("_before"))
-    met = zones.select("_id", "_chunk", "_head").join(before, ["_id", "_chunk"])
-    sync = met.select("_id", "_chunk", F.array_min(F.array_intersect("_head", "_before")).alias("_at"))
-    stuck = sync.where(F.col("_at").isNull()).select("_id").distinct()
-    ends = sync.select("_id", (F.col("_chunk") - 1).alias("_chunk"), F.col("_at").alias("_end"))
-    pieces = (
-        zones.select("_id", "_chunk", "_start", "_part")
-        .join(sync, ["_id", "_chunk"], "left")
-        .join(ends, ["_id", "_chunk"], "left")
-        .join(stuck, "_id", "left_anti")
-    )
-    begin = F.coalesce("_at", F.lit(0)) - F.col("_start")
-    text_of = F.when(F.col("_end").isNull(), F.expr("substr(_part, CAST(coalesce(_at, 0) - _start + 1 AS INT))")).otherwise(
-        F.substr("_part", (begin + 1).cast("int"), (F.col("_end") - F.col("_start") - begin).cast("int"))
-    )
-    encoded = pieces.select("_id", "_chunk", encode(text_of).alias("_ids"))
-    joined = encoded.groupBy("_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_ids"))), lambda x: x["_ids"])).alias("ids"))
+    zones = cut(parts.mapInPandas(lambda it: _zones(it, chunk, overlap), _CHUNK_COLS + ", _head array<bigint>, _tail array<bigint>"))
+    once = zones.dropDuplicates(["_id", "_chunk"])
+    # where the pieces begin and end is found without the texts
+    order = Window.partitionBy("_id").orderBy("_chunk")
+    met = once.select("_id", "_chunk", "_start", F.array_min(F.array_intersect("_head", F.lag("_tail").over(order))).alias("_at"))
+    piece = F.sum(F.when(F.col("_at").isNotNull(), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_piece")
+    ends = F.coalesce(F.lead("_at").over(order), F.lead("_start").over(order)).alias("_end")
+    cuts = met.select("_id", "_chunk", (F.coalesce("_at", "_start") - F.col("_start")).alias("_from"), (ends - F.col("_start")).alias("_to"), piece)
+    own = F.expr("substr(_part, CAST(_from + 1 AS INT), CAST(coalesce(_to, length(_part)) - _from AS INT))")
+    texts = once.select("_id", "_chunk", "_part").join(cuts, ["_id", "_chunk"]).select("_id", "_piece", "_chunk", own.alias("_own")).repartition("_id", "_piece")
+    whole = lambda c, f: F.transform(F.array_sort(F.collect_list(F.struct(c, f))), lambda x: x[f])
+    pieces = texts.groupBy("_id", "_piece").agg(F.array_join(whole("_chunk", "_own"), "").alias("_text")).select("_id", "_piece", encode("_text").alias("_ids"))
+    joined = pieces.groupBy("_id").agg(F.flatten(whole("_piece", "_ids")).alias("ids"))
     # one id list a distinct long text; repeated rows take it again
-    unstuck = rows.where(long).select("_id").join(joined, "_id")
-    whole = rows.where(long).join(stuck, "_id", "left_semi").select("_id", encode("_text").alias("ids"))
-    return union_all([short, unstuck, whole]).withColumnRenamed("_id", key)
+    copies = zones.where(F.col("_chunk") == 0).select("_id")
+    return union_all([short, copies.join(joined, "_id")]).withColumnRenamed("_id", key)
 
 
 def token_count(text: Column, ranks_file: str = RANKS) -> Column:
