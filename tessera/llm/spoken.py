@@ -6,6 +6,9 @@ import re
 import unicodedata as U
 from functools import lru_cache
 
+import numpy as np
+
+from tessera.llm.boost import Boosted
 from tessera.llm.glyphs import own_alphabet, widths
 
 _DIGITS = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"〇": 0, "两": 2}
@@ -26,7 +29,7 @@ _BRACKETS = re.compile(r"\[([^\[\]]*)\]|\(([^()]*)\)|【([^【】]*)】|〔([^
 # Words of sound and event annotations, by their beginning.
 _EVENTS = tuple(
     "laugh chuckl giggl music applau clap cheer sigh cough sneez nois beep slam knock ring buzz bark sob cries crying gasp breath whisper scream "
-    "static silen inaudib crosstalk footstep thunder click sniff groan moan yawn humming whistl bang crash creak "
+    "static silen inaudib crosstalk footstep footfall thunder click sniff groan moan yawn humming whistl bang crash creak vibrat rustl clatter thud chime siren "
     "risa aplauso música suspiro ruido silencio tos rire applaudissement musique toux soupir bruit "
     "смех аплодисмент музык кашель вздох шум тишина".split()
 )
@@ -63,12 +66,12 @@ def number_of(label: str) -> int | None:
 
 @lru_cache(65536)
 def speaker_number(speaker: str | None) -> int | None:
-    """The number in a speaker label, however written; None where the label names nobody."""
+    """The number in a speaker label, however written; None where the label names nobody or its number is no INT."""
     if speaker is None:
         return None
     s = widths(speaker).strip().lower()
-    if m := re.search(r"\d{1,9}", s):
-        return int(m[0])
+    if m := re.search(r"\d+", s):
+        return int(m[0]) if len(m[0].lstrip("0")) < 11 and int(m[0]) < 1 << 31 else None
     if m := re.search(rf"(?:^|人|者|员|宾|号|#|[ _\-])([{_HAN}]+)号?\W*$", s):
         return number_of(m[1])
     return next((_WORDS[w] for w in re.findall(r"[a-z]+", s) if w in _WORDS), None)
@@ -82,17 +85,42 @@ def _is_event(content: str) -> bool:
     return 0 < len(words) <= 4 and any(w.startswith(_EVENTS) for w in words)
 
 
-def hesitates(token: str, pause: bool) -> bool:
-    """Token-level classification: a sound without meaning, its letters drawn out or not; some only before a pause."""
+#: what the trees see of a token: its sound (0 none, 1 one that hesitates, 2 one that does when drawn out, 3 one that does
+#: before a pause, 4 one that does in either case), whether it is drawn out, and whether a pause follows
+SOUNDS = 5
+#: labelled tokens the trees are trained on: (token, before a pause, hesitates)
+_LABELLED = (
+    *((t, p, True) for t in ("um", "ummm", "uh-uh", "hm", "Euh", "эм", "гмм", "erm") for p in (False, True)),
+    *((t, p, True) for t in ("mmm", "m-m", "ммм", "эээ", "э-э") for p in (False, True)), *((t, p, False) for t in ("m", "м") for p in (False, True)),
+    ("э", True, True), ("э", False, False), *((t, p, p) for t in ("em", "hum", "eh", "ehm", "emm", "huuum") for p in (False, True)),
+    *((t, p, False) for t in ("me", "hummus", "lantern", "them", "we", "он", "see", "no-no", "um-hum", "le") for p in (False, True)),
+)
+
+
+def token_features(token: str, pause: bool) -> tuple[int, ...]:
     parts = token.lower().split("-")
     once = {re.sub(r"(.)\1+", r"\1", p) for p in parts}
-    if len(once) != 1:
-        return False
-    base = once.pop()
+    base = once.pop() if len(once) == 1 else ""
+    sound = 4 if base == "э" else 1 if base in _HESITATION else 2 if base in _HESITATION_DRAWN else 3 if base in _HESITATION_AT_PAUSE else 0
     drawn = len(parts) > 1 or len(token) > len(base)
-    if base in _HESITATION_DRAWN:
-        return drawn or (pause and base == "э")
-    return base in _HESITATION or (pause and base in _HESITATION_AT_PAUSE)
+    return (*(int(sound == k) for k in range(SOUNDS)), int(drawn), int(pause))
+
+
+@lru_cache(1)
+def hesitation_model() -> Boosted:
+    x = np.array([token_features(t, p) for t, p, _ in _LABELLED], float)
+    return Boosted(rounds=40, depth=3, rate=0.7).fit(x, np.array([y for _, _, y in _LABELLED], float))
+
+
+@lru_cache(1 << 8)
+def _hesitates(features: tuple[int, ...]) -> bool:
+    return bool(hesitation_model().margin(np.array([features], float))[0] > 0)
+
+
+def hesitates(token: str, pause: bool) -> bool:
+    """Token-level classification by the fitted trees: a sound without meaning, its letters drawn out or not; some only
+    before a pause. The features have few combinations, so each is decided once."""
+    return _hesitates(token_features(token, pause))
 
 
 def spoken_words(text: str | None) -> tuple[str, int | None]:

@@ -6,7 +6,7 @@ import numpy as np
 
 from tessera.llm import turns
 from tessera.llm.boost import Boosted
-from tessera.llm.spoken import hesitates, speaker_number, spoken_words
+from tessera.llm.spoken import SOUNDS, hesitates, hesitation_model, speaker_number, spoken_words
 from tessera.llm.turns import FEATURES, PAUSE_MS, boundaries, boundary_model, disagreements, is_boundary, speaker_turns, turns_of
 
 SCHEMA = "sample_id string, start_sec double, seg_id bigint, speaker string, text string, speaker_no string"
@@ -17,6 +17,20 @@ def test_speaker_numbers():
         assert speaker_number(label) == want, label
 
 
+def test_large_speaker_numbers_do_not_merge():
+    assert speaker_number("spk_1234567890") == 1234567890 and speaker_number("spk_12345678901") is None and speaker_number("spk_0000000000007") == 7
+
+
+def test_tokens_are_classified_by_the_trees():
+    """On every combination of features that a token can have."""
+    want = {0: lambda d, p: False, 1: lambda d, p: True, 2: lambda d, p: d, 3: lambda d, p: p, 4: lambda d, p: d or p}
+    for sound, rule in want.items():
+        for d in (0, 1):
+            for p in (0, 1):
+                x = np.array([[*(int(sound == k) for k in range(SOUNDS)), d, p]], float)
+                assert (hesitation_model().margin(x)[0] > 0) == bool(rule(d, p)), (sound, d, p)
+
+
 def test_spoken_words():
     cases = {
         "[00:01.500] <|Speech|>um, Hello (take two) [laughter]": ("hellotaketwo", None),
