@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.functions.keys import packed_key
 from tessera.functions.similarity import _ratio
 from tessera.operators.runs import by_group, by_run, label_runs
 
@@ -49,7 +50,7 @@ def suppress_near(df: DataFrame, entity: str, value: str, time: str, rank: list[
     """Of rows with one value closer than `within` seconds the one with the higher rank stays (ties: earlier, then
     smaller pos). Runs of near rows are independent. Needs pos BIGINT."""
     cols = df.columns
-    keyed = df.where(F.col(value).isNotNull() & F.col(time).isNotNull()).withColumn("_key", F.concat_ws("\u0001", F.col(entity), F.col(value).cast("string")))
+    keyed = df.where(F.col(value).isNotNull() & F.col(time).isNotNull()).withColumn("_key", packed_key([F.col(entity).cast("string"), F.col(value).cast("string")]))
     runs = label_runs(keyed, "_key", [time, "pos"], [time], lambda a, b: (b[time] - a[time]).astype(float) > within)
 
     def run(rows: list[dict]) -> list[tuple]:

@@ -8,10 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.functions.keys import packed_key, unpacked_key
 from tessera.operators.carryscan import Batches, carry_scan, range_sorted
 
-_SEP = "\u0001"
-
 
 class _Islands:
     """The running state over rows sorted by (entity, start): entity, largest end so far, start of the open island."""
@@ -108,7 +107,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, max_g
     for k in keys:
         ok = ok & F.col(k).isNotNull()
     rows = df.where(ok).select(
-        F.concat_ws(_SEP, *[F.col(k) for k in keys]).alias("key"), F.col(start).alias("start_ms"), F.col(end).alias("end_ms")
+        packed_key([F.col(k) for k in keys]).alias("key"), F.col(start).alias("start_ms"), F.col(end).alias("end_ms")
     )
     pieces = carry_scan(
         range_sorted(rows, ["key", "start_ms"]), _summarise, _combine, _rescan, "key string, start_ms bigint, end_ms bigint, prev_end bigint"
@@ -121,7 +120,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, max_g
     listed = (F.col("x.kind") == "period") | F.col("x.start_ms").isNotNull()
     if max_gap is not None:
         listed = (F.col("x.kind") == "period") | (F.col("x.end_ms") - F.col("x.start_ms") <= max_gap)
-    parts = F.split("key", _SEP)
+    parts = unpacked_key(F.col("key"), len(keys))
     return (
         islands.select("key", F.explode(both).alias("x"))
         .where(listed)

@@ -166,14 +166,14 @@ def first_seen_relabel(df: DataFrame, entity: str, label: str, pos: str) -> Data
 def merge_adjacent(df: DataFrame, entity: str, key: str, row_id: str, start: str, end: str, gap: int) -> DataFrame:
     """Neighbouring intervals of one key at most `gap` apart (against the largest end so far) as one: entity, key,
     start, end. Key runs first, so intervals of a key with others between them stay apart."""
+    from tessera.functions.keys import packed_key, unpacked_key
     from tessera.operators.intervals import periods_and_gaps
 
     runs = label_runs(df.select(entity, start, row_id, key, end), entity, [start, row_id], [key], lambda a, b: np.array([x != y for x, y in zip(a[key], b[key])], bool))
-    known = F.coalesce(F.col(key), F.lit("\u0003"))  # a null key is a key of its own
-    reach = runs.select(F.concat_ws("\u0002", F.col(entity), known, F.col("run_start").cast("string")).alias("_run"), start, (F.col(end) + gap).alias("_end"))
+    reach = runs.select(packed_key([F.col(entity), F.col(key), F.col("run_start").cast("string")]).alias("_run"), start, (F.col(end) + gap).alias("_end"))
     merged = periods_and_gaps(reach, ["_run"], start, "_end").where(F.col("kind") == "period")
-    part = F.split("_run", "\u0002")
-    return merged.select(part[0].alias(entity), F.nullif(part[1], F.lit("\u0003")).alias(key), F.col("start_ms").alias(start), (F.col("end_ms") - gap).alias(end))
+    part = unpacked_key(F.col("_run"), 3)
+    return merged.select(part[0].alias(entity), part[1].alias(key), F.col("start_ms").alias(start), (F.col("end_ms") - gap).alias(end))
 
 
 def by_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:

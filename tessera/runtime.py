@@ -82,9 +82,9 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
 
 
-def shards(df: DataFrame, bytes_each: int = 32 << 20, most: int = 100_000) -> int:
-    """Partitions for a global sort of df: by the size of the tables it reads, at least one for each core. Where a size
-    is not known (rows of an RDD), its partitions count."""
+def shards(df: DataFrame, bytes_each: int = 32 << 20, most: int = 400_000) -> int:
+    """Partitions for a global sort of df: by the size of the tables it reads, at least one for each core; beyond `most`
+    (13 TB) partitions grow instead, to 256 MB at 100 TB, as each has a row on the driver. Where a size is not known (rows of an RDD), its partitions count."""
     least, size = df.sparkSession.sparkContext.defaultParallelism, 0
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     for i in range(leaves.size()):
