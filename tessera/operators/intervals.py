@@ -136,6 +136,10 @@ def overlaps(s1: Column, e1: Column, s2: Column, e2: Column, closed: bool, null_
     return F.when(known, hit).otherwise(F.lit(null_is_true))
 
 
+#: an interval is cut into at most about so many buckets; longer ones use buckets this much wider, level by level
+FAN = 64
+
+
 def overlap_join(
     left: DataFrame, right: DataFrame, on: list[str], width: int, lstart: str = "l_start", lend: str = "l_end", rstart: str = "r_start", rend: str = "r_end"
 ) -> DataFrame:
@@ -143,16 +147,43 @@ def overlap_join(
 
     Both sides are exploded into time buckets of `width`, joined on (entity, bucket), and a pair is kept only in the
     bucket that holds the later start, so it comes once. Rows with null bounds or end not above start match nothing.
+
+    Where an interval is longer than FAN buckets (found by one aggregate over each side's bounds), buckets have levels,
+    each FAN times wider than the one below: every interval lies on its own level in at most FAN + 1 buckets, and in one or
+    two on each level above, where it meets the longer intervals only. So a row with a wild end makes no more copies than
+    others, and rows without one never meet in wide buckets.
     """
-    def buckets(df: DataFrame, s: str, e: str) -> DataFrame:
-        return df.where(F.col(e) > F.col(s)).withColumn(
-            "_bucket", F.explode(F.sequence(F.floor(F.col(s) / width).cast("bigint"), F.floor(F.col(e) / width).cast("bigint")))
-        )
+    bounds = ((left, lstart, lend), (right, rstart, rend))
+    longest = max(df.agg(F.max(F.col(e).cast("double") - F.col(s).cast("double"))).first()[0] or 0.0 for df, s, e in bounds)
+    levels = 0
+    while longest > width * FAN ** (levels + 1):
+        levels += 1
+
+    def wide(level: Column | int) -> Column:
+        return F.element_at(F.array(*[F.lit(width * FAN**k) for k in range(levels + 1)]), level + 1) if levels else F.lit(width)
+
+    def buckets(df: DataFrame, s: str, e: str, lifted: bool) -> DataFrame:
+        real = df.where(F.col(e) > F.col(s))
+        if not levels:
+            real = real.withColumn("_level", F.lit(0))
+        else:
+            length = F.col(e).cast("double") - F.col(s).cast("double")
+            own = sum((F.when(length > width * FAN ** (k + 1), 1).otherwise(0) for k in range(levels)), F.lit(0))
+            above = F.filter(F.sequence(F.lit(0), F.lit(levels)), lambda k: k > own)
+            real = real.withColumn("_level", F.explode(above)) if lifted else real.withColumn("_level", own)
+        place = lambda c: F.floor(F.col(c) / wide(F.col("_level"))).cast("bigint")
+        return real.withColumn("_bucket", F.explode(F.sequence(place(s), place(e))))
 
     later = F.greatest(F.col(lstart), F.col(rstart))
-    return (
-        buckets(left, lstart, lend)
-        .join(buckets(right, rstart, rend), [*on, "_bucket"])
-        .where((F.least(F.col(lend), F.col(rend)) > later) & (F.col("_bucket") == F.floor(later / width).cast("bigint")))
-        .drop("_bucket")
-    )
+    keys = [*on, "_level", "_bucket"] if levels else [*on, "_bucket"]
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = a.join(b if levels else b.drop("_level"), keys)
+        once = F.col("_bucket") == F.floor(later / wide(F.col("_level"))).cast("bigint")
+        return pairs.where((F.least(F.col(lend), F.col(rend)) > later) & once).drop("_bucket", "_level")
+
+    own_left, own_right = buckets(left, lstart, lend, False), buckets(right, rstart, rend, False)
+    if not levels:
+        return met(own_left, own_right)
+    all_right = own_right.unionByName(buckets(right, rstart, rend, True))
+    return met(own_left, all_right).unionByName(met(buckets(left, lstart, lend, True), own_right))

@@ -50,3 +50,18 @@ def test_overlap_join_once(spark):
     right = spark.createDataFrame(b, "k string, j int, r_start int, r_end int")
     got = sorted((r.i, r.j) for r in overlap_join(left, right, ["k"], 7).collect())
     assert got == sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and min(x[3], y[3]) > max(x[2], y[2]))
+
+
+def test_overlaps_with_wild_ends(spark):
+    """Lengths of any size against brute force; a wild end makes few copies."""
+    rng = random.Random(12)
+    side = lambda: [(rng.choice("ab"), i, s := rng.randrange(3000), s + rng.choice([0, 1, 5, 40, 700, 10**5, 10**9, 10**12])) for i in range(120)]
+    left, right = side(), side()
+    a = spark.createDataFrame(left, "e string, i int, l_start bigint, l_end bigint")
+    b = spark.createDataFrame(right, "e string, j int, r_start bigint, r_end bigint")
+    want = {(x[1], y[1]) for x in left for y in right if x[0] == y[0] and min(x[3], y[3]) > max(x[2], y[2])}
+    got = [(r.i, r.j) for r in overlap_join(a, b, ["e"], 10).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    few = a.where("l_end - l_start < 100")
+    assert {(r.i, r.j) for r in overlap_join(few, b.where("r_end - r_start < 100"), ["e"], 10).collect()} == {(i, j) for i, j in want if left[i][3] - left[i][2] < 100 and right[j][3] - right[j][2] < 100}
+    assert overlap_join(a.limit(0), b, ["e"], 10).collect() == []
