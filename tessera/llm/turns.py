@@ -58,7 +58,7 @@ def boundary_model(sample: np.ndarray) -> Boosted:
     x = np.vstack([seeds, sample.reshape(-1, len(FEATURES))]).astype(float)
     weight = np.ones(len(x))
     for _ in range(64):
-        model = Boosted(rounds=16, depth=2, rate=0.7, least=1e-3 * len(x) ** 0.5).fit(x, is_boundary(x), weight)
+        model = Boosted(rounds=6, depth=2, rate=0.7, least=1e-3 * len(x) ** 0.5).fit(x, is_boundary(x), weight)
         wrong = disagreements(model)
         if not len(wrong):
             return model
