@@ -62,25 +62,30 @@ def word_confidence(words: Column, high: float = 0.8) -> Column:
     return F.when(F.size(known) > 0, F.when(mean >= high, "high").otherwise("medium"))
 
 
-def exact_median(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Exact median by group (group, median): ranks from a carried scan over the global order and the middle rows, so no
-    task holds a group's values. Nulls of either column are left out."""
+def exact_median(df: DataFrame, group: str, value: str, weight: str | None = None) -> DataFrame:
+    """Exact median by group (group, median), each row counted `weight` times (once without): equal values are counted
+    first, map-side, then ranks come from a carried scan over the global order of what is left, so no task holds a
+    group's values. Nulls of either column are left out."""
     from tessera.operators.runs import numbered
 
-    rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, value, F.monotonically_increasing_id().alias("_tie"))
-    ranked = numbered(rows, group, [value, "_tie"])
-    n = ranked.groupBy(group).agg(F.max("sequence").alias("_n"))
-    middle = (F.col("sequence") == F.floor((F.col("_n") + 1) / 2)) | (F.col("sequence") == F.floor(F.col("_n") / 2) + 1)
-    return ranked.join(n, group).where(middle).groupBy(group).agg(F.avg(value).alias("median"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(n.cast("bigint").alias("_n"))
+    ranked = numbered(rows, group, [value], "_n")
+    total = ranked.groupBy(group).agg(F.max("sequence").alias("_all"))
+    # the one or two middle ranks, and how many of them fall on a value
+    on = sum(((k > F.col("sequence") - F.col("_n")) & (k <= F.col("sequence"))).cast("int") for k in (F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1))
+    return ranked.join(total, group).withColumn("_on", on).where("_on > 0").groupBy(group).agg((F.sum(F.col(value) * F.col("_on")) / 2).alias("median"))
 
 
 def robust_events(df: DataFrame, group: str, value: str, factor: float = 4.0, least: float = 0.11, floor: float = 0.005) -> DataFrame:
-    """Median, median absolute deviation, the adaptive threshold and the values above it, by group."""
-    med = exact_median(df, group, value).withColumnRenamed("median", "med")
-    away = df.join(med, group).select(group, F.abs(F.col(value) - F.col("med")).alias("away"))
-    line = med.join(exact_median(away, group, "away").withColumnRenamed("median", "mad"), group)
+    """Median, median absolute deviation, the adaptive threshold and the values above it, by group; all from the counts
+    of the distinct values."""
+    counts = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    med = exact_median(counts, group, value, "n").withColumnRenamed("median", "med")
+    away = counts.join(med, group).select(group, F.abs(F.col(value) - F.col("med")).alias("away"), "n")
+    line = med.join(exact_median(away, group, "away", "n").withColumnRenamed("median", "mad"), group)
     line = line.withColumn("threshold", F.greatest(F.lit(least), F.col("med") + factor * F.greatest(F.col("mad"), F.lit(floor))))
-    above = df.join(line, group).groupBy(group).agg(F.count_if(F.col(value) > F.col("threshold")).alias("events"))
+    above = counts.join(line, group).groupBy(group).agg(F.sum(F.when(F.col(value) > F.col("threshold"), F.col("n")).otherwise(0)).alias("events"))
     return line.join(above, group).select(group, "med", "mad", "threshold", "events")
 
 

@@ -97,19 +97,21 @@ def label_runs(df: DataFrame, entity: str, order: list[str], columns: list[str],
     return carry_scan(range_sorted(rows, [entity, *order]), summarise, combine, rescan, schema)
 
 
-def numbered(df: DataFrame, entity: str, order: list[str]) -> DataFrame:
-    """df with a sequence number from 1 inside its entity, by a carried count over globally sorted rows. Rows with a
-    null entity are left out."""
+def numbered(df: DataFrame, entity: str, order: list[str], weight: str | None = None) -> DataFrame:
+    """df with a sequence number from 1 inside its entity, by a carried count over globally sorted rows: the number of
+    rows up to and with this one, or the sum of their weight (BIGINT). Rows with a null entity are left out."""
     from pyspark.sql.types import LongType, StructField, StructType
 
     rows = df.where(F.col(entity).isNotNull())
     names = rows.columns
-    key = names.index(entity)
+    key, heavy = names.index(entity), None if weight is None else names.index(weight)
 
     def counted(batch: pa.RecordBatch, ent: object, n: int) -> tuple[np.ndarray, object, int]:
         codes = batch.column(key).dictionary_encode().indices.to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        no = np.arange(batch.num_rows) - np.repeat(starts, np.diff(np.r_[starts, batch.num_rows])) + 1
+        each = np.ones(batch.num_rows, np.int64) if heavy is None else batch.column(heavy).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.cumsum(each)
+        no = upto - np.repeat((upto - each)[starts], np.diff(np.r_[starts, batch.num_rows]))
         if batch.column(key)[0].as_py() == ent:
             no[: starts[1] if len(starts) > 1 else batch.num_rows] += n
         return no, batch.column(key)[batch.num_rows - 1].as_py(), int(no[-1])

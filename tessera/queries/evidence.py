@@ -295,7 +295,8 @@ _HAS = lambda c: f"coalesce(trim({c}, ' ') <> '', false)"
       concat_ws(',', CASE WHEN coalesce(regexp_matches(feedback, '画面|video'), false) AND NOT {_HAS('video')} THEN 'video' END, CASE WHEN coalesce(regexp_matches(prompt, '图'), false) AND NOT {_HAS('reference_images')} THEN 'images' END) AS missing,
       regexp_matches(prompt, '字幕') AND NOT regexp_matches(prompt, '(?:不要|先不).{{0,20}}?(?:字幕)') AS wants_caption,
       CASE WHEN instr(prompt, '图') > 0 THEN substr(prompt, greatest(instr(prompt, '图') - 24, 1), instr(prompt, '图') - greatest(instr(prompt, '图') - 24, 1) + 1 + 120) END AS around_image,
-      CASE WHEN NOT coalesce(json_valid(gold), false) AND {_HAS('gold')} THEN 'gold: no JSON in row ' || row_index END AS gold_error FROM j""")
+      CASE WHEN NOT coalesce(json_valid(gold), false) AND {_HAS('gold')} THEN 'gold: no JSON in row ' || row_index END AS gold_error,
+      coalesce(nullif(feedback, ''), nullif(prompt, ''), '') AS said FROM j""")
 def sample_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts of each sample: what breaks, what is junk, what is provided and what is missing."""
     s = _samples(spark, sf_dir)
@@ -307,6 +308,7 @@ def sample_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row_index", F.array_join(validation.violations(gates), ",").alias("broken"), rules.reject_reason(gates).alias("first_broken"), validation.only_junk([c("prompt"), c("feedback")], ["无", "n/a"], "test[0-9]*|[-.]+").alias("junk"),
         validation.any_alias_filled(s, ["Feedback", "user_feedback"]).alias("any_feedback"), given["images"].alias("has_images"), given["video"].alias("has_video"), F.array_join(validation.missing_needs(needs), ",").alias("missing"),
         validation.required_clause(c("prompt"), "字幕", ["不要", "先不"]).alias("wants_caption"), validation.around(c("prompt"), F.lit("图")).alias("around_image"), validation.json_or_error(c("gold"), "gold", c("row_index"))["error"].alias("gold_error"),
+        contracts.first_filled(c("feedback"), c("prompt")).alias("said"),
     )
 
 
@@ -319,6 +321,15 @@ def prediction_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("pred_id", F.coalesce(validation.has_content(c), F.lit(False)).alias("filled"), F.length(jsonops.array_slice(c)).alias("array_slice"), F.length(jsonops.object_slice(c)).alias("object_slice"))
 
 
+@_query(f"""WITH p AS (SELECT DISTINCT pred_id, prediction AS t FROM predictions), k AS (SELECT pred_id, CASE WHEN {nested_sql.strict('t')} THEN CASE WHEN json_type(t) = 'ARRAY' THEN from_json(t, '["json"]') END END AS l FROM p)
+    SELECT pred_id, len(l) AS n, l[1]->>'问题类型' AS first_type FROM k WHERE l IS NOT NULL AND len(list_filter(l, lambda x: json_type(x) IS DISTINCT FROM 'OBJECT')) = 0""")
+def prediction_object_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions that are arrays of objects only, as structs of a fixed schema."""
+    a = jsonops.object_array(F.col("prediction"), "struct<`问题类型`:string>")
+    p = _predictions(spark, sf_dir).select("pred_id", a.alias("a")).where("a IS NOT NULL")
+    return p.select("pred_id", F.size("a").cast("bigint").alias("n"), F.try_element_at("a", F.lit(1))["问题类型"].alias("first_type"))
+
+
 @_query("""WITH d AS (SELECT doc_id, doc_kind, lang, source FROM documents) SELECT doc_id, doc_kind || chr(10) || coalesce(lang, '-') AS content,
     '{"kind":"' || doc_kind || '","lang":"' || coalesce(lang, '-') || '","tool":"reader"}' AS merged, concat_ws(',', CASE WHEN doc_kind <> '' THEN doc_kind END, CASE WHEN trim(coalesce(lang, ''), ' ') NOT IN ('', doc_kind) THEN trim(lang, ' ') END) AS cleaned FROM d""")
 def doc_maps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,15 @@ def caption_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.overlap_components(speech, subs, "sample_id", WIDTH)
 
 
+def caption_component_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is heard and what is shown in each component, in order of time, and the languages of both."""
+    speech = _speech(spark, sf_dir).select("sample_id", F.col("seg_id").cast("string").alias("seg_id"), F.col("s").alias("l_start"), F.col("e").alias("l_end"), "text")
+    subs = _subtitles(spark, sf_dir).select("sample_id", F.col("sub_id").cast("string").alias("sub_id"), F.col("s").alias("r_start"), F.col("e").alias("r_end"), "text")
+    nodes = alignment.overlap_components(speech, subs, "sample_id", WIDTH)
+    out = alignment.component_texts(nodes, speech.where("text IS NOT NULL"), subs.where("text IS NOT NULL"))
+    return out.select("component", "heard", "shown", "start", "heard_family", "shown_family")
+
+
 def caption_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed captions merged into segments."""
     s = _subtitles(spark, sf_dir).where("sample_id IS NOT NULL AND bbox IS NOT NULL")
@@ -166,7 +175,7 @@ def stream_running_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        speech_word_confidence, speech_tag_counts, speech_stripped, speech_shared_labels, caption_overlaps, caption_heard, caption_text_elsewhere, caption_components, caption_merge, caption_boxes,
+        speech_word_confidence, speech_tag_counts, speech_stripped, speech_shared_labels, caption_overlaps, caption_heard, caption_text_elsewhere, caption_components, caption_component_texts, caption_merge, caption_boxes,
         caption_distinct, caption_gaps, embedding_pairs, embedding_quality, order_line_ranges, order_last_of_customer, stream_hourly_values, stream_sessions, stream_running_maximum,
     )
 }
@@ -175,6 +184,12 @@ _MS = "CAST(round({c} * 1000) AS BIGINT)"
 _SEG = f"seg AS (SELECT DISTINCT seg_id, sample_id, {_MS.format(c='start_sec')} AS s, {_MS.format(c='end_sec')} AS e, text, speaker FROM speech_segments)"
 _SUB = f"sub AS (SELECT DISTINCT sub_id, sample_id, {_MS.format(c='start_sec')} AS s, {_MS.format(c='end_sec')} AS e, text, bbox FROM subtitle_segments)"
 
+_COMPONENTS = """WITH RECURSIVE a AS (SELECT DISTINCT seg_id, sample_id, CAST(round(start_sec * 1000) AS BIGINT) AS s, CAST(round(end_sec * 1000) AS BIGINT) AS e FROM speech_segments),
+        b AS (SELECT DISTINCT sub_id, sample_id, CAST(round(start_sec * 1000) AS BIGINT) AS s, CAST(round(end_sec * 1000) AS BIGINT) AS e FROM subtitle_segments),
+        p AS (SELECT DISTINCT 's:' || seg_id AS x, 't:' || sub_id AS y FROM a JOIN b USING (sample_id) WHERE a.e > a.s AND b.e > b.s AND least(a.e, b.e) > greatest(a.s, b.s)),
+        edge AS (SELECT x, y FROM p UNION SELECT y, x FROM p), reach AS (SELECT x AS node, x AS other FROM edge UNION SELECT r.node, edge.y FROM reach r JOIN edge ON edge.x = r.other),
+        nodes AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+
 ORACLE = {
     "speech_word_confidence": """WITH d AS (SELECT DISTINCT seg_id, words FROM speech_segments), m AS (SELECT seg_id, list_avg(list_transform(words, lambda w: w.probability)) AS p FROM d)
         SELECT seg_id, CASE WHEN p >= 0.8 THEN 'high' WHEN p IS NOT NULL THEN 'medium' END AS level FROM m""",
@@ -198,11 +213,12 @@ ORACLE = {
         g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM f)
         SELECT user_id, min(t) AS start_us, max(t) + 21600000000 AS end_us, count(*) AS events FROM g GROUP BY user_id, n""",
     "stream_running_maximum": "SELECT user_id AS key, max(value) AS top FROM events GROUP BY user_id",
-    "caption_components": """WITH RECURSIVE a AS (SELECT DISTINCT seg_id, sample_id, CAST(round(start_sec * 1000) AS BIGINT) AS s, CAST(round(end_sec * 1000) AS BIGINT) AS e FROM speech_segments),
-        b AS (SELECT DISTINCT sub_id, sample_id, CAST(round(start_sec * 1000) AS BIGINT) AS s, CAST(round(end_sec * 1000) AS BIGINT) AS e FROM subtitle_segments),
-        p AS (SELECT DISTINCT 's:' || seg_id AS x, 't:' || sub_id AS y FROM a JOIN b USING (sample_id) WHERE a.e > a.s AND b.e > b.s AND least(a.e, b.e) > greatest(a.s, b.s)),
-        edge AS (SELECT x, y FROM p UNION SELECT y, x FROM p), reach AS (SELECT x AS node, x AS other FROM edge UNION SELECT r.node, edge.y FROM reach r JOIN edge ON edge.x = r.other)
-        SELECT node, min(other) AS component FROM reach GROUP BY node""",
+    "caption_components": f"""{_COMPONENTS} SELECT * FROM nodes""",
+    "caption_component_texts": f"""{_COMPONENTS}, t AS (SELECT component, 'heard' AS side, a.s AS at_ms, CAST(a.seg_id AS VARCHAR) AS id, x.text FROM nodes JOIN a ON node = 's:' || a.seg_id JOIN (SELECT DISTINCT seg_id, text FROM speech_segments) x ON x.seg_id = a.seg_id WHERE x.text IS NOT NULL
+          UNION ALL SELECT component, 'shown', b.s, CAST(b.sub_id AS VARCHAR), x.text FROM nodes JOIN b ON node = 't:' || b.sub_id JOIN (SELECT DISTINCT sub_id, text FROM subtitle_segments) x ON x.sub_id = b.sub_id WHERE x.text IS NOT NULL),
+        g AS (SELECT component, coalesce(string_agg(text, ' ' ORDER BY at_ms, id) FILTER (side = 'heard'), '') AS heard, coalesce(string_agg(text, ' ' ORDER BY at_ms, id) FILTER (side = 'shown'), '') AS shown, min(at_ms) AS start FROM t GROUP BY component),
+        n AS (SELECT *, length(regexp_replace(heard, '[^\\x{{3400}}-\\x{{9fff}}]', '', 'g')) AS hh, length(regexp_replace(heard, '[^A-Za-zÀ-ÖØ-öø-ɏ]', '', 'g')) AS hl, length(regexp_replace(shown, '[^\\x{{3400}}-\\x{{9fff}}]', '', 'g')) AS sh, length(regexp_replace(shown, '[^A-Za-zÀ-ÖØ-öø-ɏ]', '', 'g')) AS sl FROM g)
+        SELECT component, heard, shown, start, CASE WHEN hh >= 2 AND hh >= hl THEN 'zh' WHEN hl >= 2 AND hl > hh THEN 'latin' ELSE 'unknown' END AS heard_family, CASE WHEN sh >= 2 AND sh >= sl THEN 'zh' WHEN sl >= 2 AND sl > sh THEN 'latin' ELSE 'unknown' END AS shown_family FROM n""",
     "caption_distinct": """WITH RECURSIVE s AS (SELECT DISTINCT sub_id, sample_id, CAST(round(start_sec * 1000) AS BIGINT) AS s, text, bbox, coalesce(confidence, 0) AS c FROM subtitle_segments WHERE sample_id IS NOT NULL AND bbox IS NOT NULL AND start_sec IS NOT NULL),
         r AS (SELECT sample_id || '/' || CAST(floor(s / 60000) AS BIGINT) AS minute, sub_id AS pos, {'t': text, 'x': (bbox.x1 + bbox.x2) / 2, 'y': (bbox.y1 + bbox.y2) / 2} AS v, row_number() OVER (PARTITION BY sample_id || '/' || CAST(floor(s / 60000) AS BIGINT) ORDER BY c DESC, sub_id) AS n FROM s),
         g AS (SELECT minute, n, [v] AS kept, [pos] AS ids FROM r WHERE n = 1 UNION ALL
