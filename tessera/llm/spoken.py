@@ -26,6 +26,11 @@ _POSITION_HEAD = re.compile(rf"(?:{_CLOCK}\s*-->\s*{_CLOCK}|\d{{1,3}}:\d{{2}}:\d
 _TAG = re.compile(r"<\|[^|<>]*\|>")
 _BRACKETS = re.compile(r"\[([^\[\]]*)\]|\(([^()]*)\)|【([^【】]*)】|〔([^〔〕]*)〕|<([^<>]*)>|\{([^{}]*)\}|\*([^*]+)\*")
 
+#: what a bracket or tag can begin with
+_OPENS = re.compile(r"[\[(【〔<{*]")
+#: all but letters and digits
+_SILENT = re.compile(r"[\W_]+")
+
 # Words of sound and event annotations, by their beginning.
 _EVENTS = tuple(
     "laugh chuckl giggl music applau clap cheer sigh cough sneez nois beep slam knock ring buzz bark sob cries crying gasp breath whisper scream "
@@ -47,7 +52,9 @@ _HESITATION_AT_PAUSE = frozenset("hum eh em ehm".split())
 _HESITATION_HAN = re.compile(
     r"(?:嗯+|呃+|唔+|呣+|えーっ?と|ええっ?と|えっと|うーん|うーむ|あのー+|そのー+|んー+|えー+)(?=[\s,，、。.…—~～!！?？;；:：♪-]|$|嗯|呃|唔|え|う)|(?<![^\s,，、。.…—~～!！?？])(?:额+)(?=[\s,，、。.…—~～!！?？]|$)"
 )
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+#: a token of nothing but letters of these sounds, not a part of a longer one
+_SOUND = "[" + "".join(sorted(set("".join(_HESITATION | _HESITATION_DRAWN | _HESITATION_AT_PAUSE)))) + "]+"
+_SOUND_TOKEN = re.compile(rf"(?<![^\W\d_])(?<![^\W\d_]['’\-]){_SOUND}(?:-{_SOUND})*(?![^\W\d_])(?!['’\-][^\W\d_])", re.IGNORECASE)
 
 
 def number_of(label: str) -> int | None:
@@ -117,6 +124,7 @@ def _hesitates(features: tuple[int, ...]) -> bool:
     return bool(hesitation_model().margin(np.array([features], float))[0] > 0)
 
 
+@lru_cache(1 << 16)
 def hesitates(token: str, pause: bool) -> bool:
     """Token-level classification by the fitted trees: a sound without meaning, its letters drawn out or not; some only
     before a pause. The features have few combinations, so each is decided once."""
@@ -142,7 +150,8 @@ def spoken_words(text: str | None) -> tuple[str, int | None]:
             return " "
         return f" {content} "
 
-    t = _BRACKETS.sub(bracket, _TAG.sub(" ", t))
+    if _OPENS.search(t):
+        t = _BRACKETS.sub(bracket, _TAG.sub(" ", t))
     t = t.lstrip(" \n♪♫>-–—")
     while m := _POSITION_HEAD.match(t) or _LABEL_HEAD.match(t):
         if m.re is _LABEL_HEAD and label is None:
@@ -154,5 +163,6 @@ def spoken_words(text: str | None) -> tuple[str, int | None]:
         after = t[m.end() : m.end() + 1]
         return " " if hesitates(m[0], after == "" or after in ",.…，。、—–-!?！？;；") else m[0]
 
-    t = _TOKEN.sub(token, t)
-    return "".join(c for c in U.normalize("NFC", t.lower()) if c.isalnum()), label
+    t = _SOUND_TOKEN.sub(token, t)
+    t = t.lower()
+    return _SILENT.sub("", t if t.isascii() else U.normalize("NFC", t)), label
